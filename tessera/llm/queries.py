@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.chat_format import OP2_SQL, op2
 from tessera.llm.decontaminate import op10
+from tessera.llm.mixing import OP3_SQL, op3
+from tessera.llm.url_filter import OP8_SQL, op8
 
 QUERIES = {
+    "op2_chat_format": op2,
+    "op3_mix_sources": op3,
+    "op8_url_filter": op8,
     "op10_decontaminate": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+    "op3_mix_sources": OP3_SQL,
+    "op8_url_filter": OP8_SQL,
+}
