@@ -61,5 +61,13 @@ def raw(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-def fields(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def fields(spec: str) -> T.StructType:
+    """"name type, ..." with plain types or array<type>; needs no session, unlike Spark's own parser."""
+
+    def kind(t: str) -> T.DataType:
+        return T.ArrayType(kind(t[6:-1])) if t.startswith("array<") else _TYPES[t]
+
+    return T.StructType([T.StructField(*(n, kind(t))) for n, t in (x.split() for x in spec.split(","))])

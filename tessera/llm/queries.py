@@ -5,9 +5,11 @@ from __future__ import annotations
 from tessera.llm.chat_format import OP2_SQL, op2
 from tessera.llm.decontaminate import op10
 from tessera.llm.mixing import OP3_SQL, op3
+from tessera.llm.token_output import op1
 from tessera.llm.url_filter import OP8_SQL, op8
 
 QUERIES = {
+    "op1_token_output": op1,
     "op2_chat_format": op2,
     "op3_mix_sources": op3,
     "op8_url_filter": op8,
