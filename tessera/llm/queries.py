@@ -6,6 +6,7 @@ from tessera.llm.chat_format import OP2_SQL, op2
 from tessera.llm.decontaminate import op10
 from tessera.llm.mixing import OP3_SQL, op3
 from tessera.llm.simhash import op7
+from tessera.llm.substring_dedup import op4
 from tessera.llm.token_output import op1
 from tessera.llm.url_filter import OP8_SQL, op8
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_output": op1,
     "op2_chat_format": op2,
     "op3_mix_sources": op3,
+    "op4_substring_dedup": op4,
     "op7_simhash": op7,
     "op8_url_filter": op8,
     "op10_decontaminate": op10,
