@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.chat_format import OP2_SQL, op2
 from tessera.llm.decontaminate import op10
+from tessera.llm.media_gif import op9
 from tessera.llm.mixing import OP3_SQL, op3
 from tessera.llm.simhash import op7
 from tessera.llm.substring_dedup import op4
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_substring_dedup": op4,
     "op7_simhash": op7,
     "op8_url_filter": op8,
+    "op9_media_gif": op9,
     "op10_decontaminate": op10,
 }
 
