@@ -9,6 +9,7 @@ from tessera.llm.mixing import OP3_SQL, op3
 from tessera.llm.simhash import op7
 from tessera.llm.substring_dedup import op4
 from tessera.llm.token_output import op1
+from tessera.llm.toxicity import op5
 from tessera.llm.url_filter import OP8_SQL, op8
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_chat_format": op2,
     "op3_mix_sources": op3,
     "op4_substring_dedup": op4,
+    "op5_toxicity": op5,
     "op7_simhash": op7,
     "op8_url_filter": op8,
     "op9_media_gif": op9,
