@@ -52,25 +52,26 @@ def reply_paths(trees: DataFrame, *, branches: int = 1) -> DataFrame:
     links = stage_table(links, "links")
     largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rounds = math.ceil(math.log2(max(largest, 1))) + 1
-    # state: the ancestor 2^k steps up, the steps really taken, the scores of the nodes passed
+    # state: the ancestor 2^k steps up, the steps really taken, the scores of the nodes passed; a node without such an ancestor is done
     state = links.select("tree", "node", "up", F.lit(1).cast("bigint").alias("steps"), "score")
-    jumps = [links.select("tree", "node", "up")]
+    active, done, jumps = state.where("up is not null"), state.where("up is null"), []
     for _ in range(rounds):
-        if state.where("up is not null").isEmpty():
+        if active.isEmpty():
             break
-        far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        state = state.join(far, state.tree.eqNullSafe(far.t) & (state.up == far.n), "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
+        jumps.append(active.select("tree", "node", "up"))
+        far = active.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        met = active.join(far, active.tree.eqNullSafe(far.t) & (active.up == far.n)).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score")
         )
-        state = stage_table(state, "jump")
-        jumps.append(state.select("tree", "node", "up"))
+        met = stage_table(met, "jump")
+        active, done = met.where("up is not null"), done.unionByName(met.where("up is null"))
     parents = links.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = state.where("up is null").join(parents, state.tree.eqNullSafe(parents.t) & (state.node == parents.n), "left_anti")
+    leaves = done.join(parents, done.tree.eqNullSafe(parents.t) & (done.node == parents.n), "left_anti")
     by_score = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(by_score)).where(F.col("branch") <= branches)
     paths = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.col("steps").alias("position"))
-    for k, jump in enumerate(jumps[:-1]):
-        hop = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for k, jump in enumerate(jumps):
+        hop = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = paths.join(hop, paths.tree.eqNullSafe(hop.t) & (paths.node == hop.n)).select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("position") - 2**k).alias("position"))
         paths = stage_table(paths.unionByName(more), "paths")
     texts = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
