@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.chat_format import OP2_SQL, op2
 from tessera.llm.decontaminate import op10
+from tessera.llm.lm_scoring import op6
 from tessera.llm.media_gif import op9
 from tessera.llm.mixing import OP3_SQL, op3
 from tessera.llm.simhash import op7
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mix_sources": op3,
     "op4_substring_dedup": op4,
     "op5_toxicity": op5,
+    "op6_lm_scoring": op6,
     "op7_simhash": op7,
     "op8_url_filter": op8,
     "op9_media_gif": op9,
