@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage_table, table
+from tessera.llm.common import fresh, stage_table, table
 
 #: Production parameters.
 SHARE, CAP, CYCLE = 1.5, 2, (5, 2, 1)
@@ -42,6 +42,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, *, share: float = SHARE, cap: float = CAP, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """source, source_size, n_rows -> with weight and target. One row per source in and out."""
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -67,7 +71,7 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, *, seed: str = S
     documents: doc_id, text, source (others ignored). weights: doc_id, weight.
     row_hash is a hash of the row's text; equal rows get equal values but may differ in epochs.
     """
-    rows = documents.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("row_hash"), n_words(F.col("text")).alias("size"))
+    rows = documents.select("doc_id", "source", text_hash(F.col("text")).alias("row_hash"), n_words(F.col("text")).alias("size"))
     if weights is not None:
         one = weights.groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
         rows = rows.join(one, "doc_id", "left")
@@ -96,6 +100,18 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, *, seed: str = S
     return rows.withColumn("epochs", epochs).select("doc_id", "row_hash", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(documents: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
+    """documents with each row as many times as the mix takes it, with their own columns only."""
+    d, h, m, t, k, times = (fresh(documents, x) for x in ("mix_id", "mix_hash", "mix_rows", "mix_times", "mix_rank", "mix_of_row"))
+    taken = mix(documents, weights, **options).groupBy(F.col("doc_id").alias(d), F.col("row_hash").alias(h)).agg(F.count("*").alias(m), F.sum("epochs").alias(t)).where(F.col(t) > 0)
+    rows = documents.join(taken, F.col("doc_id").eqNullSafe(F.col(d)) & (text_hash(F.col("text")) == F.col(h)))
+    # rows that agree in doc_id and text share what the mix takes of them
+    rank = F.row_number().over(Window.partitionBy(d, h).orderBy(d))
+    shared = rows.where(F.col(m) > 1).withColumn(k, rank).withColumn(times, F.floor(F.col(t) / F.col(m)) + (F.col(k) <= F.col(t) % F.col(m)).cast("bigint"))
+    every = rows.where(F.col(m) == 1).withColumn(k, F.lit(1)).withColumn(times, F.col(t)).unionByName(shared)
+    return every.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, POOR).otherwise(PLAIN).alias("weight"))
 
