@@ -30,8 +30,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with this package shipped to the workers."""
+    """mapInArrow with this package shipped to the workers; columns with dots in their names pass under other names."""
     ship(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns):
+        df = df.toDF(*(f"{i}_th_column" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
     return df.mapInArrow(f, schema)
 
 

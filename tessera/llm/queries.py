@@ -8,6 +8,7 @@ from tessera.llm.lm_scoring import op6
 from tessera.llm.media_gif import op9
 from tessera.llm.mixing import OP3_SQL, op3
 from tessera.llm.simhash import op7
+from tessera.llm.sql_twins import OP4_SQL, OP10_SQL
 from tessera.llm.substring_dedup import op4
 from tessera.llm.token_output import op1
 from tessera.llm.toxicity import op5
@@ -29,5 +30,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op8_url_filter": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
 }

@@ -48,8 +48,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     r = rules.where("action is not null and host is not null and path is not null").select("action", F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).distinct()
     digest = expression(F.col("rule_host"), F.col("rule_path"))
     hashed = r.select("action", F.concat("rule_host", "rule_path").alias("rule"), F.char_length("rule_host").alias("host_length"), digest.alias("rule_digest"), short(digest).alias("rule_short"))
-    # the path lengths that rules have: few numbers, whatever the number of rules
-    lengths = sorted(x[0] for x in r.select(F.char_length("rule_path")).distinct().limit(100_000).collect())
+    # the path lengths that rules have: no more numbers than the longest rule path has characters
+    lengths = sorted(x[0] for x in r.select(F.char_length("rule_path")).distinct().collect())
     judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     pairs = judged.select("host", "path").distinct()
     dots = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("host"), F.lit(1))), lambda i: F.substr("host", i, F.lit(1)) == ".")
