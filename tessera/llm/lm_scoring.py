@@ -7,14 +7,15 @@ context; the probability of a word is half that and, if training texts have
 the word, half its share of all training tokens. The end token is a word of
 its own that every text has once.
 
-Training covers all training texts. Word counts: blocks of whole documents
+Training covers all training texts: counts and gradient steps. Word counts: blocks of whole documents
 send each distinct word's hash once to the task that sums its range of hashes
 and get the sums back; the same pass counts all subword ids, which choose the
 vocabulary and the biases. The weights come from ROUNDS rounds of gradient
 steps: each task starts from the round's common weights, takes the texts whose
-hash gives them to this round (one in SHARE, whole texts), and the tasks'
-weights are averaged by tokens, in two levels, so what is gathered grows with
-the input and the driver gets a square root of it.
+hash gives them to this round (one in ROUNDS, so that the rounds together take
+every training text once), and the tasks' weights are averaged by tokens, in
+two levels, so what is gathered grows with the input and the driver gets a
+square root of it.
 
 Scoring cuts a text into windows that overlap by CONTEXT tokens; each token is
 scored once, with at least so many tokens before it where the text has them.
@@ -48,7 +49,7 @@ from tessera.llm.toxicity import remainder
 
 #: Production parameters.
 BLOCK_WORDS, RANGE_BYTES, LEAST_RANGES = 500_000, 16_000_000, 256
-ROUNDS, SHARE, MIX = 2, 32, 0.5
+ROUNDS, MIX = 2, 0.5
 #: Model id 0 is the end token and the start of every text, the last one any id outside the vocabulary.
 VOCABULARY = A.CLASSES * A.CLASSES
 _CACHE = 300_000
@@ -274,7 +275,7 @@ def learn_weights(rows: DataFrame, coder: Coder, tokenizer: str, doc_key: str) -
     weights = A.initial(coder.counts, coder.ends)
     schema = fields("part int, tokens double, weights binary")
     for number in range(ROUNDS):
-        mine = rows.where(F.pmod(F.xxhash64(F.lit("lm"), doc_key), F.lit(SHARE)) == number).select("text")
+        mine = rows.where(F.pmod(F.xxhash64(F.lit("lm"), doc_key), F.lit(ROUNDS)) == number).select("text")
         shared = spark.sparkContext.broadcast((coder, weights))
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,9 @@ import pytest
 import xxhash
 from conftest import same_rows
 
+from tessera.llm import lm_scoring as lm
 from tessera.llm.queries import ORACLES, QUERIES
+from tessera.llm.token_output import default_tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +70,24 @@ def test_language_model(spark, sf_dir, docs):
             assert r.score >= r.base_score - r.n_tokens * math.log10(2) - 1e-6
 
 
+def test_language_model_trains_on_every_text(spark, sf_dir, docs, monkeypatch):
+    staged = []
+
+    def stage(df, name, put=lm.stage_table):
+        out = put(df, name)
+        if name == "lm-weights":
+            staged.append(out)
+        return out
+
+    monkeypatch.setattr(lm, "stage_table", stage)
+    learned = [t for d, t in docs if zlib.crc32(str(d).encode()) % 5 != 1]
+    blocks = lm.Block([[w.encode() for w in WORDS.findall(t.translate(LOWER))] for t in learned])
+    lengths, _ = blocks.spelled(lm.speller(default_tokenizer()))
+    lm.op6(spark, sf_dir)
+    trained = sum(r.tokens for df in staged for r in df.select("tokens").collect())
+    assert trained == sum(1 if k == 0 else lengths[k - 1] for k in blocks.flat.tolist())
+
+
 def fingerprint(text):
     words = WORDS.findall(text.translate(LOWER))
     shingles = [" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1))] if words else []
