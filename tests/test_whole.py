@@ -1,9 +1,15 @@
 """Searches read the whole of what they are named for."""
 
+from pathlib import Path
+
+import numpy as np
+import pytest
+
 from tessera.functions import blocking_keys as K
 from tessera.functions import text as X
 from tessera.functions.similarity import word_grams
 from tessera.operators import blocking as B
+from tessera.plans import registry as G
 
 
 def test_large_blocks_are_ranked_whole(spark):
@@ -20,3 +26,20 @@ def test_large_blocks_are_ranked_whole(spark):
         got = B.cosine_candidates(s1, pool, {"k1": 60}, **size).collect()
         assert {(r.s1_id, r.cand_id) for r in got} == wanted
         assert ("S1-0000007", "S3-0000001", 1) in {tuple(r) for r in got}
+
+
+def nearest(queries, targets):
+    """q_id, t_id of the 20 nearest by brute force."""
+    q, t = (x.toPandas().sort_values("id") for x in (queries, targets))
+    score = np.round(np.stack(q.vec).astype(float) @ np.stack(t.vec).astype(float).T, 9)
+    return {(int(a), int(b)) for a, row in zip(q.id, np.argsort(-score, axis=1, kind="stable")[:, :20], strict=True) for b in t.id.to_numpy()[row]}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_search_keeps_its_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
+    if not Path(d).exists():
+        pytest.skip(d)
+    wanted = nearest(*G.vectors(spark, d))
+    found = {(r.q_id, r.t_id) for r in G.QUERIES["ann_ivf_topk"](spark, d).collect()}
+    assert len(wanted & found) >= 0.9 * len(wanted)
