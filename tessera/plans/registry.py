@@ -522,8 +522,18 @@ def validate_unknown_ids(spark, d):
 # Vectors.
 
 
+def all_vectors(spark, d) -> DataFrame:
+    return R.table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vec"))
+
+
+def whole_search(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Queries of ids divisible by 50, and all rows, the queries too."""
+    v = all_vectors(spark, d).drop("part")
+    return v.where("id % 50 = 0"), v
+
+
 def vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    v = R.table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vec"))
+    v = all_vectors(spark, d)
     return v.where("id % 5 = 0"), v.where("id % 5 <> 0")
 
 
@@ -540,10 +550,22 @@ def embedding_matches(spark, d):
     return N.matches(N.top_k(*vectors(spark, d)), 0.3).select("q_id", "t_id", six(F.col("score"), "score"))
 
 
+_DOT_ALL = "select q.vec_id as q_id, t.vec_id as t_id, round(list_inner_product(q.embedding::double[], t.embedding::double[]), 9) as s, row_number() over (partition by q.vec_id order by s desc, t.vec_id)::int as rank from embeddings q cross join embeddings t where q.vec_id % 50 = 0"
+
+
+@register(f"select q_id, t_id, round(s, 6) as score, rank from ({_DOT_ALL}) where rank <= 20")
+def embedding_topk_all(spark, d):
+    return N.top_k_of_all(*whole_search(spark, d)).select("q_id", "t_id", six(F.col("score"), "score"), "rank")
+
+
+@register(f"select q_id, t_id, round(s, 6) as score from ({_DOT_ALL}) where rank <= 20 and s >= 0.3")
+def embedding_matches_all(spark, d):
+    return N.matches(N.top_k_of_all(*whole_search(spark, d)), 0.3).select("q_id", "t_id", six(F.col("score"), "score"))
+
+
 @register()
 def ann_ivf_topk(spark, d):
-    q, t = vectors(spark, d)
-    return N.approximate_top_k(q.drop("part"), t.drop("part"))
+    return N.approximate_top_k(*whole_search(spark, d))
 
 
 @register()

@@ -40,6 +40,14 @@ def test_approximate_search_keeps_its_recall(spark, sf):
     d = f"/root/testdata/{sf}"
     if not Path(d).exists():
         pytest.skip(d)
-    wanted = nearest(*G.vectors(spark, d))
+    wanted = nearest(*G.whole_search(spark, d))
     found = {(r.q_id, r.t_id) for r in G.QUERIES["ann_ivf_topk"](spark, d).collect()}
     assert len(wanted & found) >= 0.9 * len(wanted)
+
+
+def test_every_row_is_indexed(spark, sf_dir):
+    found = G.QUERIES["ann_ivf_topk"](spark, sf_dir).collect()
+    queries = {r.q_id for r in found}
+    assert queries == {r.id for r in G.all_vectors(spark, sf_dir).select("id").collect() if r.id % 50 == 0}
+    assert any(r.t_id % 5 == 0 and r.t_id != r.q_id for r in found)
+    assert all((q, q) in {(r.q_id, r.t_id) for r in found} for q in queries)
