@@ -18,7 +18,7 @@ from tessera.session import ship
 MAX_KEY_FREQUENCY, TOP_K = 500, 20
 #: Postings that each prefix rule reads of a key, in order of entity_id.
 PREFIX_LIMITS = {"k1": 20, "k2": 10, "k3": 10}
-#: Candidates of each rule by n-gram cosine; under FEW in all, a fallback adds more.
+#: Candidates of each rule by n-gram cosine; under FEW in all, the reference's fallback adds more, which is not built here.
 RULE_TOP_K, FEW, FALLBACK_TOP_K = {"k1": 60, "k2": 30, "k3": 30, "k4": 20}, 5, 30
 PREFIX_KEY = ["rule", "country_key", "bkey"]
 #: Rows of a block that are compared at once.
