@@ -1,9 +1,16 @@
 """A small causal self-attention language model in numpy, on subword ids.
 
-One attention layer over embeddings of subwords and places in the window. The
-next id is predicted in two steps, its class and the id within the class, so
-that a prediction costs 2*sqrt(V) terms rather than V, and a last unit says
-whether the id ends its word. Biases begin at the corpus's own counts.
+One attention layer over embeddings of subwords and places in the window; the
+output map of the single head is part of its value map. The next id is
+predicted in two steps, its class and the id within the class, so that a
+prediction costs 2*sqrt(V) terms rather than V. The last hidden unit is held at
+one, so that its weights are biases; they begin at the corpus's own counts.
+
+Documents lie end to end as one row of ids. A window scores SCORED places and
+sees CONTEXT places before them; windows of a document follow each other, so
+that each place is scored once. A place's input is the id before it, ``bos`` at
+the document's start. Empty input gives empty output; ids must be below
+CLASSES * CLASSES, and documents have one token at least.
 """
 
 from __future__ import annotations
@@ -11,224 +18,219 @@ from __future__ import annotations
 import numpy as np
 
 #: Production parameters: width, ids of the vocabulary = CLASSES * CLASSES, scored places of a window and places of context before them.
-WIDTH, CLASSES, SCORED, CONTEXT = 24, 48, 32, 16
+WIDTH, CLASSES, SCORED, CONTEXT = 16, 40, 16, 8
 SPAN = CONTEXT + SCORED
 #: Windows scored at once, and to a step of training.
-BATCH, STEP = 96, 32
+BATCH, STEP = 256, 384
+#: Adam's step, decays and the number of steps after which its start counts no more.
+RATE, FIRST, SECOND, WARM = 0.01, 0.9, 0.99, 500
 _F = np.float32
+#: Parameters in the order of the flat vector: embeddings, places, maps to query, key, value and rest side by side, classes, ids within classes.
+SHAPES = {"E": (CLASSES * CLASSES, WIDTH), "P": (SPAN, WIDTH), "W": (WIDTH, 4 * WIDTH), "C": (CLASSES, WIDTH), "U": (CLASSES, CLASSES, WIDTH)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def initial(counts: np.ndarray, ends: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Parameters from the counts of each model id, and of its uses at a word's end."""
-    rng = np.random.default_rng(seed)
-    v = CLASSES * CLASSES
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Named parts of the flat vector, without a copy."""
+    out, at = {}, 0
+    for k, s in SHAPES.items():
+        n = int(np.prod(s))
+        out[k] = flat[at : at + n].reshape(s)
+        at += n
+    return out
 
-    def small(*shape: int) -> np.ndarray:
-        return (rng.standard_normal(shape) * 0.1).astype(_F)
 
+def initial(counts: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The flat vector, with biases from the counts of each id."""
+    flat = (np.random.default_rng(seed).standard_normal(SIZE) * 0.1).astype(_F)
+    p = views(flat)
     c = counts.reshape(CLASSES, CLASSES) + 0.1
     total = c.sum(axis=1)
-    share = (ends + 0.5) / (counts + 1)
-    return {
-        "E": small(v, WIDTH), "P": small(SPAN, WIDTH), "Q": small(WIDTH, WIDTH), "K": small(WIDTH, WIDTH), "V": small(WIDTH, WIDTH), "O": small(WIDTH, WIDTH),
-        "R": (np.eye(WIDTH) * 1.5).astype(_F), "C": small(CLASSES, WIDTH), "U": small(CLASSES, CLASSES, WIDTH), "F": small(v, WIDTH) * 0,
-        "c": np.log(total / total.sum()).astype(_F), "u": np.log(c / total[:, None]).astype(_F), "f": np.log(share / (1 - share)).astype(_F),
-    }
+    p["W"][:, 3 * WIDTH :] = np.eye(WIDTH) * 1.5
+    p["C"][:, -1], p["U"][:, :, -1] = np.log(total / total.sum()), np.log(c / total[:, None])
+    return flat
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of documents laid end to end: the first scored token of each window, and its document."""
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents laid end to end: the first scored place of each window, and its document's first place and end."""
     n = -(-sizes // SCORED)
     doc = np.repeat(np.arange(len(sizes)), n)
-    begin = np.cumsum(sizes) - sizes
-    return begin[doc] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * SCORED, doc
+    end = np.cumsum(sizes)
+    first = end - sizes
+    return first[doc] + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * SCORED, first[doc], end[doc]
 
 
 _MASK = (np.arange(SPAN)[None, :] <= (CONTEXT + np.arange(SCORED))[:, None]).astype(_F)
 _PLACES = np.arange(SPAN) - CONTEXT
 
 
-def _gather(ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (the id before each place), which places exist. first, end: the document's borders."""
-    place = start[:, None] + _PLACES
-    before = ids.take(place - 1, mode="clip")
-    inner = place > first[:, None]
-    before[~inner] = bos
-    return before, (place >= first[:, None]) & (place < end[:, None])
-
-
-def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = np.matmul(q * _F(WIDTH**-0.5), k.transpose(0, 2, 1))
-    np.minimum(s, _F(60), out=s)  # exp stays finite without a second look for the largest
-    np.exp(s, out=s)
-    s *= _MASK
-    if not real.all():
-        s *= real[:, None, :]
-    s /= s.sum(axis=2, keepdims=True) + _F(1e-30)
-    return np.matmul(s, v), s
-
-
-def _exp(z: np.ndarray) -> np.ndarray:
-    np.clip(z, _F(-80), _F(80), out=z)
-    return np.exp(z, out=z)
-
-
-def _classes(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    c = targets // CLASSES
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    return [(k, order[cut[k] : cut[k + 1]]) for k in range(CLASSES) if cut[k] < cut[k + 1]]
-
-
-class Scorer:
-    """Log probabilities with a fixed model; projections of the tables are made once."""
-
-    def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
-        self.tables = {k: (p["E"] @ p[k], p["P"] @ p[k]) for k in "QKVR"}
-
-    def __call__(self, ids: np.ndarray, last: np.ndarray, sizes: np.ndarray, bos: int) -> np.ndarray:
-        """ln p of each id with its end-of-word mark, given its window: each token once."""
-        p = self.p
-        out = np.zeros(len(ids), dtype=np.float64)
-        start, doc = windows(sizes)
-        end = np.cumsum(sizes)
-        first = end - sizes
-        (qe, qp), (ke, kp), (ve, vp), (re, rp) = (self.tables[k] for k in "QKVR")
-        ct = np.ascontiguousarray(p["C"].T)
-        ut = np.ascontiguousarray(p["U"].transpose(0, 2, 1))
-        for lo in range(0, len(start), BATCH):
-            s, d = start[lo : lo + BATCH], doc[lo : lo + BATCH]
-            x, real = _gather(ids, s, first[d], end[d], bos)
-            scored = real[:, CONTEXT:]
-            new = x[:, CONTEXT:]
-            a, _ = _attend(qe[new] + qp[CONTEXT:], ke[x] + kp, ve[x] + vp, real)
-            g = np.tanh((re[new] + rp[CONTEXT:])[scored] + a[scored] @ p["O"])
-            at = (s[:, None] + np.arange(SCORED))[scored]
-            t = ids[at]
-            # tokens of a class side by side
-            order = np.argsort(t // CLASSES, kind="stable")
-            g, at, t = g[order], at[order], t[order]
-            c, inside = t // CLASSES, t % CLASSES
-            every = np.arange(len(t))
-            z = g @ ct
-            z += p["c"]
-            _exp(z)
-            chance = z[every, c] / z.sum(axis=1)
-            cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
-            y = np.empty((len(t), CLASSES), _F)
-            for k in range(CLASSES):
-                if cut[k] < cut[k + 1]:
-                    np.matmul(g[cut[k] : cut[k + 1]], ut[k], out=y[cut[k] : cut[k + 1]])
-                    y[cut[k] : cut[k + 1]] += p["u"][k]
-            _exp(y)
-            chance *= y[every, inside] / y.sum(axis=1)
-            mark = np.einsum("ij,ij->i", g, p["F"][t]) + p["f"][t]
-            chance /= 1 + _exp(np.where(last[at], -mark, mark))
-            out[at] = np.log(np.maximum(chance, _F(1e-37)))
-        return out
+class Pass:
+    """The forward half for some windows: inputs, attention and hidden states, targets sorted by class."""
+
+    def __init__(self, p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray, ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int):
+        d = WIDTH
+        at = start[:, None] + _PLACES
+        self.x = ids.take(at - 1, mode="clip")
+        edge = np.flatnonzero((start - CONTEXT <= first) | (start + SCORED > end))
+        inside = at[edge]
+        self.x[edge] = np.where(inside > first[edge, None], self.x[edge], bos)
+        real = (inside >= first[edge, None]) & (inside < end[edge, None])
+        h = table.take(self.x, axis=0)
+        h += place
+        self.q, self.k, self.v, r = h[:, CONTEXT:, :d], h[:, :, d : 2 * d], h[:, :, 2 * d : 3 * d], h[:, CONTEXT:, 3 * d :]
+        s = np.matmul(self.q, self.k.transpose(0, 2, 1))
+        np.minimum(s, _F(60), out=s)  # exp stays finite without a look for the largest
+        np.exp(s, out=s)
+        s *= _MASK
+        s[edge] *= real[:, None, :]
+        self.v[:, :, -1] = 1  # the last column of the product is then the sum of the weights
+        g = np.matmul(s, self.v)
+        self.s, self.share = s, 1 / (g[:, :, -1:] + _F(1e-30))
+        g *= self.share
+        g += r
+        np.tanh(g, out=g)
+        g[:, :, -1] = 1
+        self.g = g.reshape(-1, d)
+        self.at = at[:, CONTEXT:].reshape(-1)
+        #: places of the windows that lie beyond their document
+        self.none = (edge[:, None] * SCORED + np.arange(SCORED))[~real[:, CONTEXT:]]
+        t = ids.take(self.at, mode="clip")
+        self.order = np.argsort(t.astype(np.int16), kind="stable")
+        t = t[self.order]
+        self.gs, self.c, self.inside = self.g[self.order], t // CLASSES, t % CLASSES
+        self.cut = np.searchsorted(self.c, np.arange(CLASSES + 1)).tolist()
+        self.rows = np.arange(len(t))
+        self.z = _softmax(self.gs @ p["C"].T)
+        y = np.empty((len(t), CLASSES), _F)
+        for k in range(CLASSES):
+            if self.cut[k] < self.cut[k + 1]:
+                np.matmul(self.gs[self.cut[k] : self.cut[k + 1]], p["U"][k].T, out=y[self.cut[k] : self.cut[k + 1]])
+        self.y = _softmax(y)
+        chance = self.z[self.rows, self.c] * self.y[self.rows, self.inside]
+        self.ln = np.empty(len(t), _F)
+        self.ln[self.order] = np.log(np.maximum(chance, _F(1e-37)))
+        self.ln[self.none] = 0
+
+    def put(self, out: np.ndarray) -> None:
+        """ln p of each scored place into out."""
+        if len(self.none):
+            keep = np.ones(len(self.ln), dtype=bool)
+            keep[self.none] = False
+            out[self.at[keep]] = self.ln[keep]
+        else:
+            out[self.at] = self.ln
+
+
+_ONES = np.ones(CLASSES, _F)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    np.minimum(z, _F(60), out=z)
+    np.exp(z, out=z)
+    z *= (1 / (z @ _ONES + _F(1e-30)))[:, None]
+    return z
+
+
+def _tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and all places under all four maps; the query is scaled."""
+    w = p["W"].copy()
+    w[:, :WIDTH] *= _F(WIDTH**-0.5)
+    return p["E"] @ w, p["P"] @ w
+
+
+def score(flat: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bos: int) -> np.ndarray:
+    """ln p of each id given its window, with fixed weights: each token once."""
+    p = views(flat)
+    table, place = _tables(p)
+    start, first, end = windows(sizes)
+    out = np.zeros(len(ids), dtype=_F)
+    for lo in range(0, len(start), BATCH):
+        part = slice(lo, lo + BATCH)
+        Pass(p, table, place, ids, start[part], first[part], end[part], bos).put(out)
+    return out
 
 
 class Trainer:
     """Adam on batches of windows."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.rate, self.steps, self.tokens = rate, 0, 0
-
-    def _touch(self, k: str, rows: np.ndarray | None, g: np.ndarray) -> None:
-        """One Adam step; rows: of a table, only those that the batch used."""
-        at = slice(None) if rows is None else rows
-        m, v = self.m[k], self.v[k]
-        m[at] = 0.9 * m[at] + 0.1 * g
-        v[at] = 0.99 * v[at] + 0.01 * g * g
-        n = min(self.steps, 500)
-        self.p[k][at] -= self.rate * (m[at] / (1 - 0.9**n)) / (np.sqrt(v[at] / (1 - 0.99**n)) + _F(1e-8))
-
-    def train(self, ids: np.ndarray, last: np.ndarray, sizes: np.ndarray, bos: int, rng: np.random.Generator) -> None:
-        start, doc = windows(sizes)
-        end = np.cumsum(sizes)
-        first = end - sizes
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat.astype(_F)
+        self.p = views(self.flat)
+        self.m, self.v = np.zeros(SIZE, _F), np.zeros(SIZE, _F)
+        self.grad = np.zeros(SIZE, _F)
+        self.d = views(self.grad)
+        self.steps = 0
+
+    def train(self, ids: np.ndarray, sizes: np.ndarray, bos: int, rng: np.random.Generator) -> np.ndarray:
+        """One step for each STEP windows, dealt by rng; ln p of each token when its step began."""
+        start, first, end = windows(sizes)
+        out = np.zeros(len(ids), dtype=_F)
         order = rng.permutation(len(start))
         for lo in range(0, len(order), STEP):
             pick = order[lo : lo + STEP]
-            self._step(ids, last, start[pick], first[doc[pick]], end[doc[pick]], bos)
-
-    def _step(self, ids, last, s, first, end, bos) -> None:
-        p = self.p
-        x, real = _gather(ids, s, first, end, bos)
-        scored = real[:, CONTEXT:]
-        e = p["E"][x] + p["P"]
-        r = e[:, CONTEXT:]
-        q, k, v = r @ p["Q"], e @ p["K"], e @ p["V"]
-        a, w = _attend(q, k, v, real)
-        at = (s[:, None] + np.arange(SCORED))[scored]
-        t, n = ids[at], int(scored.sum())
-        rs, as_ = r[scored], a[scored]
-        g = np.tanh(rs @ p["R"] + as_ @ p["O"])
-        # forward and backward through the two softmaxes and the end mark
-        z = g @ p["C"].T + p["c"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), t // CLASSES] -= 1
-        z /= n
+            table, place = _tables(self.p)
+            f = Pass(self.p, table, place, ids, start[pick], first[pick], end[pick], bos)
+            f.put(out)
+            self._backward(f)
+            self._adam()
+        return out
+
+    def _backward(self, f: Pass) -> None:
+        p, g, d = self.p, self.d, WIDTH
+        size = _F(1 / max(1, len(f.ln) - len(f.none)))
+        gone = np.zeros(len(f.ln), dtype=bool)
+        gone[f.none] = True
+        gone = np.flatnonzero(gone[f.order])
+        # through both softmaxes
+        z, y = f.z, f.y
+        z[f.rows, f.c] -= 1
+        y[f.rows, f.inside] -= 1
+        z[gone], y[gone] = 0, 0
+        gs = f.gs * size
+        g["C"][:] = z.T @ gs
         dg = z @ p["C"]
-        grads = [("C", None, z.T @ g), ("c", None, z.sum(axis=0))]
-        for c, rows in _classes(t):
-            y = g[rows] @ p["U"][c].T + p["u"][c]
-            y = np.exp(y - y.max(axis=1, keepdims=True))
-            y /= y.sum(axis=1, keepdims=True)
-            y[np.arange(len(rows)), t[rows] % CLASSES] -= 1
-            y /= n
-            dg[rows] += y @ p["U"][c]
-            grads += [("U", c, y.T @ g[rows]), ("u", c, y.sum(axis=0))]
-        used, place = np.unique(t, return_inverse=True)
-        mark = (g * p["F"][t]).sum(axis=1) + p["f"][t]
-        dm = ((1 / (1 + np.exp(-mark)) - last[at]) / n).astype(_F)
-        dg += dm[:, None] * p["F"][t]
-        grads += [("F", used, _sums(place, dm[:, None] * g, len(used))), ("f", used, np.bincount(place, dm, len(used)).astype(_F))]
-        dh = dg * (1 - g * g)
-        grads += [("R", None, rs.T @ dh), ("O", None, as_.T @ dh)]
-        da = np.zeros_like(a)
-        da[scored] = dh @ p["O"].T
-        dr = np.zeros_like(r)
-        dr[scored] = dh @ p["R"].T
-        dw = np.matmul(da, v.transpose(0, 2, 1))
-        dv = np.matmul(w.transpose(0, 2, 1), da)
-        dscore = w * (dw - (dw * w).sum(axis=2, keepdims=True)) * _F(WIDTH**-0.5)
-        dq, dk = np.matmul(dscore, k), np.matmul(dscore.transpose(0, 2, 1), q)
-        flat = lambda y: y.reshape(-1, WIDTH)
-        grads += [("Q", None, flat(r).T @ flat(dq)), ("K", None, flat(e).T @ flat(dk)), ("V", None, flat(e).T @ flat(dv))]
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, CONTEXT:] += dr + dq @ p["Q"].T
-        grads.append(("P", None, de.sum(axis=0)))
-        rows, place = np.unique(x.ravel(), return_inverse=True)
-        grads.append(("E", rows, _sums(place, flat(de), len(rows))))
+        g["U"][:] = 0
+        for k in range(CLASSES):
+            lo, hi = f.cut[k], f.cut[k + 1]
+            if lo < hi:
+                np.matmul(y[lo:hi].T, gs[lo:hi], out=g["U"][k])
+                dg[lo:hi] += y[lo:hi] @ p["U"][k]
+        dg *= size - gs * f.gs
+        da = np.empty_like(dg)
+        da[f.order] = dg
+        da = da.reshape(-1, SCORED, d)
+        # through attention
+        s = f.s
+        s *= f.share
+        dh = np.zeros((len(da), SPAN, 4 * d), _F)
+        dh[:, CONTEXT:, 3 * d :] = da
+        ds = np.matmul(da, f.v.transpose(0, 2, 1))
+        dh[:, :, 2 * d : 3 * d] = np.matmul(s.transpose(0, 2, 1), da)
+        ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
+        ds *= s
+        dh[:, CONTEXT:, :d] = np.matmul(ds, f.k)
+        dh[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), f.q)
+        # to the maps, and by id to the embeddings
+        scale = np.ones(4 * d, _F)
+        scale[:d] = WIDTH**-0.5
+        w = p["W"] * scale
+        dplace = dh.sum(axis=0)
+        dh = dh.reshape(-1, 4 * d)
+        x = f.x.ravel()
+        g["W"][:] = (p["E"].take(x, axis=0).T @ dh + p["P"].T @ dplace) * scale
+        g["P"][:] = dplace @ w.T
+        de = dh @ w.T
+        order = np.argsort(x.astype(np.int16), kind="stable")
+        x = x[order]
+        cut = np.flatnonzero(np.diff(x, prepend=-1))
+        g["E"][:] = 0
+        g["E"][x[cut]] = np.add.reduceat(de[order], cut, axis=0)
+
+    def _adam(self) -> None:
         self.steps += 1
-        self.tokens += n
-        for name, at_rows, d in grads:
-            self._touch(name, at_rows, d)
-
-
-def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(place, kind="stable")
-    cut = np.searchsorted(place[order], np.arange(n))
-    return np.add.reduceat(values[order], cut, axis=0).astype(_F)
-
-
-NAMES = ("E", "P", "Q", "K", "V", "O", "R", "C", "U", "F", "c", "u", "f")
-
-
-def packed(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in NAMES]).astype(np.float64)
-
-
-def unpacked(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in NAMES:
-        n = like[k].size
-        out[k] = x[at : at + n].reshape(like[k].shape).astype(_F)
-        at += n
-    return out
+        n = min(self.steps, WARM)
+        self.m *= _F(FIRST)
+        self.m += _F(1 - FIRST) * self.grad
+        self.v *= _F(SECOND)
+        self.v += _F(1 - SECOND) * self.grad * self.grad
+        self.flat -= _F(RATE / (1 - FIRST**n)) * self.m / (np.sqrt(self.v * _F(1 / (1 - SECOND**n))) + _F(1e-8))

@@ -3,38 +3,45 @@
 Words of the lower-cased (A-Z) text are runs without space; each is spelled by
 subword ids of a public tokenizer, the last one marked, and a text ends with
 an end token. ``attention`` gives the probability of a word's spelling in its
-context; the probability of a word is half that and, if training texts have
-the word, half its share of all training tokens. The end token is a word of
-its own that every text has once.
-
-Training covers all training texts: counts and gradient steps. Word counts: blocks of whole documents
-send each distinct word's hash once to the task that sums its range of hashes
-and get the sums back; the same pass counts all subword ids, which choose the
-vocabulary and the biases. The weights come from ROUNDS rounds of gradient
-steps: each task starts from the round's common weights, takes the texts whose
-hash gives them to this round (one in ROUNDS, so that the rounds together take
-every training text once), and the tasks' weights are averaged by tokens, in
-two levels, so what is gathered grows with the input and the driver gets a
-square root of it.
-
-Scoring cuts a text into windows that overlap by CONTEXT tokens; each token is
-scored once, with at least so many tokens before it where the text has them.
-As in substring dedup, answers lie in the shared folder by content of block.
+context; the probability of a word is a share of that and, if training texts
+have the word, the rest of its share of all training tokens. The end token is
+a word of its own that every text has once.
+
+Rows are dealt once by a hash of their own content to buckets of about
+BUCKET_BYTES and cut there into blocks of whole documents, each a file in the
+shared folder with its numbered words and their spellings. All later passes
+read these files by name, so neither file splits nor lost executors change a
+block, and the scores of a corpus are the same on any cluster.
+
+Counts: each block sends each distinct word's hash once to the task that sums
+its range of hashes and gets the sums back; the same pass counts all subword
+ids, which choose the vocabulary and the biases. Weights: every training text
+takes part in the gradient steps once. In each of the rounds of SCHEDULE every
+block of the round is a learner that starts from the common weights; learners
+are averaged by tokens, in two levels and in a fixed order, so what is gathered
+grows with the input and the driver gets a square root of it. The model's part
+of the mixture is that of PARTS which makes the last round's training words
+likeliest, each word left out of its own count; it is at most a half, so that no
+text falls more than log10(2) a token below the share that the counts give.
+
+Scoring cuts a text into windows that overlap by ``attention.CONTEXT`` tokens;
+each token is scored once, with at least so many tokens before it where the
+text has them.
 
 Defined results: null or empty text is its end token alone; without training
-texts all counts are 0; repeated rows count each and score alike; an empty
-table gives an empty table.
+texts all counts are 0; repeated rows count each and score alike, and lie in
+one bucket, which is read in blocks; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,29 +50,65 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import attention as A
-from tessera.llm.common import LOWER, fields, map_arrow, raw, stage_table, table, workspace
-from tessera.llm.tokenizing import encoder
+from tessera.llm.common import fields, map_arrow, stage_table, table, workspace
+from tessera.llm.tokenizing import byte_chars, encoder
+from tessera.llm.token_output import default_tokenizer
 from tessera.llm.toxicity import remainder
 
 #: Production parameters.
-BLOCK_WORDS, RANGE_BYTES, LEAST_RANGES = 500_000, 16_000_000, 256
-ROUNDS, MIX = 2, 0.5
-#: Model id 0 is the end token and the start of every text, the last one any id outside the vocabulary.
+BUCKET_BYTES, BLOCK_WORDS, RANGE_BYTES = 6_000_000, 1_000_000, 16_000_000
+#: Shares, in sixteenths, of the blocks that each round trains on; together all.
+SCHEDULE = (1, 3, 4, 8)
+#: Parts of the mixture that the model may get.
+PARTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+#: Model id 0 is the end token and the start of every text, the last one any marked subword outside the vocabulary.
 VOCABULARY = A.CLASSES * A.CLASSES
+#: Words laid out as tokens at once.
+LAID = 100_000
 _CACHE = 300_000
 #: Subword counts are summed by so many tasks.
 _SALTS = 16
+#: Ranges that are no hashes: subwords, then the end tokens and the list of blocks.
+_ENDS, _LISTED = -1 - _SALTS, -2 - _SALTS
+#: What subwords outside the vocabulary have beside their count.
+_LEAST = 0.02
+#: The split of byte-level tokenizers into pieces. Fixed value.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(path: str):
+    """The tokenizer as a table of ranks, if it is byte-level, splits by _PIECES and its ids follow its merges; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("dropout"):
+        return None
+    vocab, back = model["vocab"], {c: b for b, c in byte_chars().items()}
+    merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
+    if merged != sorted(merged) or (merged and merged[0] < 256):
+        return None
+    import tiktoken
+
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 class Speller(dict):
-    """word -> its subword ids, kept up to a bound."""
+    """word -> its marked subwords, kept up to a bound: twice the id, and one more for the last."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = encoder(path)
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        ids = np.frombuffer(self.encode(" " + word.decode("utf-8", "replace")), "<u4").astype(np.int64)
+        ranked = _ranked(path)
+        if ranked:
+            self.encode = ranked.encode_ordinary
+        else:
+            whole = encoder(path)
+            self.encode = lambda s: np.frombuffer(whole(s), "<u4").tolist()
+
+    def __missing__(self, word: bytes) -> list[int]:
+        ids = [2 * i for i in self.encode(" " + word.decode("utf-8", "replace"))]
+        ids[-1] += 1
         if len(self) < _CACHE:
             self[word] = ids
         return ids
@@ -81,99 +124,189 @@ def speller(path: str) -> Speller:
 
 
 class Block:
-    """Whole documents as numbers of distinct words. Number 0 is the end token."""
+    """Whole documents as numbers of distinct words, in the order of the words' hashes. Number 0 is the end token."""
 
     def __init__(self, docs: list[list[bytes]]):
-        numbers: dict[bytes, int] = {}
-        self.sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-        flat = np.zeros(int(self.sizes.sum()), dtype=np.int64)
-        at = 0
-        for d in docs:
-            flat[at : at + len(d)] = [numbers.setdefault(w, len(numbers) + 1) for w in d]
-            at += len(d) + 1
-        self.flat, self.words = flat, list(numbers)
-        self.doc = np.repeat(np.arange(len(docs)), self.sizes)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), dtype=np.uint64, count=len(self.words))
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
-        self.name = hashlib.blake2b(flat.tobytes() + hashes.tobytes(), digest_size=16).hexdigest()
-
-    def cuts(self, bits: int) -> np.ndarray:
-        edges = np.arange(2**bits, dtype=np.uint64) << np.uint64(64 - bits)
-        return np.append(np.searchsorted(self.hashes, edges), len(self.hashes))
+        self._number(np.array([len(d) for d in docs], dtype=np.int64), pa.array([w for d in docs for w in d], pa.binary()))
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, words: pa.Array) -> Block:
+        """sizes: words of each document; words: of all documents, one after the other."""
+        out = cls.__new__(cls)
+        out._number(sizes, words)
+        return out
+
+    def _number(self, sizes: np.ndarray, words: pa.Array) -> None:
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+        self.words, self.hashes = [distinct[k] for k in order.tolist()], hashes[order]
+        self.sizes = sizes + 1
+        self.flat = np.zeros(int(self.sizes.sum()), dtype=np.int32)
+        inner = np.ones(len(self.flat), dtype=bool)
+        inner[np.cumsum(self.sizes) - 1] = False
+        if len(distinct):
+            self.flat[inner] = rank[coded.indices.to_numpy(zero_copy_only=False)]
 
     def spelled(self, spell: Speller) -> tuple[np.ndarray, np.ndarray]:
-        """Of all distinct words: lengths, and ids one after the other. The end token has length 0 here."""
+        """Of all distinct words: lengths, and marked subwords one after the other. The end token has none here."""
         every = [spell[w] for w in self.words]
-        return np.array([len(x) for x in every], dtype=np.int64), np.concatenate(every) if every else np.zeros(0, np.int64)
+        lengths = np.fromiter(map(len, every), dtype=np.int32, count=len(every))
+        return lengths, np.fromiter((i for x in every for i in x), dtype=np.int32, count=int(lengths.sum()))
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words of each text, and all words one after the other."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.append(0, np.cumsum(real))
+    ends = np.cumsum(np.append(0, pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+    return np.diff(before[ends]), words.filter(pa.array(real))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[str, pa.Table, Block]]:
+    """Blocks with their names and their rows' doc_id and learn, from rows (text, doc_id, learn, bucket) sorted by bucket.
+
+    A block ends with its bucket, or with the row that reaches block_words tokens; batches' borders make no difference.
+    """
+    bucket, part, held, sizes, words, n = None, 0, [], [], [], 0
 
+    def close() -> tuple[str, pa.Table, Block]:
+        return f"{bucket}-{part}", pa.Table.from_batches(held), Block.of(np.concatenate(sizes), pa.concat_arrays(words))
 
-def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[pa.Table, list[list[bytes]]]]:
-    """Rows (text first) up to the one that reaches block_words words; batches' borders make no difference."""
-    held, docs, n = [], [], 0
     for batch in batches:
-        lo = 0
         for at in range(0, batch.num_rows, 500):
-            for k, text in enumerate(raw(batch.column(0).slice(at, 500)), at):
-                words = text.translate(LOWER).split() if text else []
-                docs.append(words)
-                n += len(words) + 1
+            rows = batch.slice(at, 500)
+            own, every = _words(rows.column(0))
+            buckets = rows.column(3).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(own)
+            lo = 0
+            while lo < rows.num_rows:
+                if buckets[lo] != bucket:
+                    if held:
+                        yield close()
+                    bucket, part, held, sizes, words, n = int(buckets[lo]), 0, [], [], [], 0
+                begin = ends[lo] - own[lo]
+                same = int(np.searchsorted(buckets, bucket, side="right"))
+                full = int(np.searchsorted(ends[lo:same] - begin + np.arange(1, same - lo + 1), block_words - n)) + lo + 1
+                hi = min(same, full)
+                held.append(rows.slice(lo, hi - lo).select([1, 2]))
+                sizes.append(own[lo:hi])
+                words.append(every.slice(begin, ends[hi - 1] - begin))
+                n += int(ends[hi - 1] - begin) + hi - lo
                 if n >= block_words:
-                    held.append(batch.slice(lo, k + 1 - lo))
-                    yield pa.Table.from_batches(held), docs
-                    held, docs, n, lo = [], [], 0, k + 1
-        if lo < batch.num_rows:
-            held.append(batch.slice(lo))
-    if docs:
-        yield pa.Table.from_batches(held), docs
+                    yield close()
+                    part, held, sizes, words, n = part + 1, [], [], [], 0
+                lo = hi
+    if held:
+        yield close()
+
+
+class Files:
+    """Files of a shared folder, each written whole or not at all."""
+
+    def __init__(self, uri: str):
+        self.files, self.root = pafs.FileSystem.from_uri(uri)
+        self.files.create_dir(self.root, recursive=True)
+
+    def write(self, name: str, parts: list) -> None:
+        own = f"{self.root}/.{name}-{np.random.SeedSequence().entropy:x}"
+        with self.files.open_output_stream(own) as out:
+            for x in parts:
+                out.write(x)
+        try:
+            self.files.move(own, f"{self.root}/{name}")
+        except OSError:  # another attempt's file, of the same content, is there
+            if self.files.get_file_info(f"{self.root}/{name}").type != pafs.FileType.File:
+                raise
+            self.files.delete_file(own)
+
+    def read(self, name: str) -> pa.Buffer:
+        with self.files.open_input_stream(f"{self.root}/{name}") as f:
+            return pa.py_buffer(f.read())
+
+
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def count_words(rows: DataFrame, folder: str, bits: int, tokenizer: str, block_words: int) -> tuple[int, int, dict[int, tuple[int, int]]]:
-    """Write each block's sums below folder. rows: text, learn. Returns N, V and subword id -> (count, count at words' ends)."""
+def _packed(tables: list[pa.Table]) -> list[pa.Buffer]:
+    out = []
+    for t in tables:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=_PACKED) as w:
+            w.write_table(t)
+        out.append(sink.getvalue())
+    return out
+
+
+class Kept:
+    """A block's file: rows (doc_id, learn, size), word numbers, lengths and marked subwords of the distinct words."""
+
+    def __init__(self, data: pa.Buffer):
+        source = pa.BufferReader(data)
+        self.rows, *numbers = [pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(4)]
+        self.flat, self.lengths, self.ids = [t.column(0).to_numpy() for t in numbers]
+        self.sizes = self.rows.column("size").to_numpy()
+        self.learn = self.rows.column("learn").to_numpy()
+
+    @staticmethod
+    def parts(rows: pa.Table, b: Block, lengths: np.ndarray, ids: np.ndarray) -> list[pa.Buffer]:
+        return _packed([rows.append_column("size", pa.array(b.sizes)), *(pa.table([pa.array(x)], names=["x"]) for x in (b.flat, lengths, ids))])
+
+
+def count_words(rows: DataFrame, folder: str, bits: int, tokenizer: str, block_words: int) -> tuple[DataFrame, int, int, int, dict[int, int]]:
+    """Write blocks and their words' sums below folder. rows: text, doc_id, learn, bucket.
+
+    Returns the blocks' names, N, V, the number of training texts and marked subword -> count.
+    """
     sent_schema = fields("range int, block string, keys binary, counts binary")
     answer_schema = fields("block string, range int, n bigint, total bigint, counts binary")
 
+    def batched(rows_: list[tuple], arrow: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows_), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows_[lo : lo + size], strict=True), arrow, strict=True)], names=arrow.names)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = speller(tokenizer)
-        for rows_, docs in in_blocks(batches, block_words):
-            b = Block(docs)
-            learn = np.array(rows_.column("learn").to_pylist(), dtype=bool)
-            counts = np.bincount(b.flat[learn[b.doc]], minlength=len(b.words) + 1)
-            own = counts[1:][b.order]
-            cut = b.cuts(bits)
-            out = [(r, b.name, b.hashes[cut[r] : cut[r + 1]].tobytes(), own[cut[r] : cut[r + 1]].astype("<u8").tobytes()) for r in np.flatnonzero(np.diff(cut)).tolist()]
+        spell, files, arrow = speller(tokenizer), Files(f"{folder}/blocks"), to_arrow_schema(sent_schema)
+        edges = np.arange(2**bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+        for name, kept, b in in_blocks(batches, block_words):
             lengths, ids = b.spelled(spell)
-            weight = np.repeat(counts[1:], lengths)
-            final = np.zeros(len(ids), dtype=bool)
-            final[np.cumsum(lengths)[lengths > 0] - 1] = True
+            files.write(name, Kept.parts(kept, b, lengths, ids))
+            learn = np.repeat(kept.column("learn").to_numpy(), b.sizes)
+            counts = np.bincount(b.flat[learn], minlength=len(b.words) + 1)
+            own = counts[1:].astype("<u8")
+            cut = np.append(np.searchsorted(b.hashes, edges), len(own))
+            # the first range always, so that every block gets an answer
+            out = [(r, name, b.hashes[cut[r] : cut[r + 1]].tobytes(), own[cut[r] : cut[r + 1]].tobytes()) for r in range(len(edges)) if not r or cut[r] < cut[r + 1]]
             used, place = np.unique(ids, return_inverse=True)
-            sums = np.stack([np.bincount(place, weight, len(used)), np.bincount(place, weight * final, len(used))], axis=1).astype("<u8")
-            out.append((-1 - int(b.name, 16) % _SALTS, b.name, used.astype("<u8").tobytes(), sums.tobytes()))
+            sums = np.bincount(place, np.repeat(counts[1:], lengths), len(used)).astype("<u8")
+            out.append((-1 - xxhash.xxh3_64_intdigest(name) % _SALTS, name, used.astype("<u8").tobytes(), sums.tobytes()))
             # the end tokens, as a word whose key no hash is compared with
-            out.append((-1 - _SALTS, b.name, b"", np.array([counts[0]], "<u8").tobytes()))
-            for lo in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[lo : lo + 256], strict=True), to_arrow_schema(sent_schema), strict=True)], names=sent_schema.names)
+            out.append((_ENDS, name, b"", np.array([counts[0]], "<u8").tobytes()))
+            yield from batched(out, arrow, 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(answer_schema)
 
         def close(number: int, blocks: list[str], keys: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if number == -1 - _SALTS:
-                total = sum(int(np.frombuffer(c, "<u8")[0]) for c in counts)
-                rows_ = [("", number, int(total > 0), total, b"")]
+            c = np.frombuffer(b"".join(counts), "<u8").astype(np.int64)
+            if number == _ENDS:
+                rows_ = [("", number, int(c.sum() > 0), int(c.sum()), b"")]
             else:
-                k = np.concatenate([np.frombuffer(x, "<u8") for x in keys])
-                c = np.concatenate([np.frombuffer(x, "<u8") for x in counts]).reshape(len(k), 2 if number < 0 else 1).astype(np.int64)
-                distinct, place = np.unique(k, return_inverse=True)
-                sums = np.stack([np.bincount(place, x, len(distinct)) for x in c.T], axis=1).astype("<u8")
+                distinct, place = np.unique(np.frombuffer(b"".join(keys), "<u8"), return_inverse=True)
+                sums = np.zeros(len(distinct), dtype=np.int64)
+                np.add.at(sums, place, c)
                 if number < 0:
-                    rows_ = [("", number, 0, 0, distinct.astype("<u8").tobytes() + sums.tobytes())]
+                    rows_ = [("", number, 0, 0, distinct.astype("<u8").tobytes() + sums.astype("<u8").tobytes())]
                 else:
                     rows_ = [("", number, int((sums > 0).sum()), int(sums.sum()), b"")]
                     ends = np.cumsum([len(x) // 8 for x in keys])[:-1]
-                    rows_ += [(b, number, 0, 0, s.tobytes()) for b, s in zip(blocks, np.split(sums[place, 0], ends), strict=True)]
-            for lo in range(0, len(rows_), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows_[lo : lo + 1000], strict=True), arrow, strict=True)], names=arrow.names)
+                    rows_ += [(b, number, 0, 0, s.tobytes()) for b, s in zip(blocks, np.split(sums[place].astype("<u8"), ends), strict=True)]
+            yield from batched(rows_, arrow, 1000)
 
         number, blocks, keys, counts = None, [], [], []
         for batch in batches:
@@ -189,184 +322,194 @@ def count_words(rows: DataFrame, folder: str, bits: int, tokenizer: str, block_w
             yield from close(number, blocks, keys, counts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        files, arrow = Files(f"{folder}/sums"), to_arrow_schema(answer_schema)
 
-        def close(name: str, parts: dict[int, bytes]) -> None:
-            own = f"{root}/.{name}-{np.random.SeedSequence().entropy:x}"
-            with files.open_output_stream(own) as out:
-                out.write(b"".join(parts[r] for r in sorted(parts)))
-            files.move(own, f"{root}/{name}")
+        def close(name: str, parts: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            files.write(name, [parts[r] for r in sorted(parts)])
+            yield from batched([(name, _LISTED, 0, 0, b"")], arrow, 1)
 
         name, parts = "", {}
         for batch in batches:
-            sums = batch.filter(pa.compute.equal(batch.column(0), ""))
+            sums = batch.filter(pc.equal(batch.column(0), ""))
             if sums.num_rows:
                 yield sums
             for b, r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if not b:
                     continue
                 if b != name and parts:
-                    close(name, parts)
+                    yield from close(name, parts)
                     parts = {}
                 name = b
                 parts[r] = c
         if parts:
-            close(name, parts)
+            yield from close(name, parts)
 
-    sent = map_arrow(rows, send, sent_schema)
-    counted = map_arrow(sent.repartition("range").sortWithinPartitions("range"), count, answer_schema)
+    sent = map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "hash", "learn").select("text", "doc_id", "learn", "bucket"), send, sent_schema)
+    counted = map_arrow(sent.repartition("range").sortWithinPartitions("range", "block"), count, answer_schema)
     # sums have no block: they are dealt by range, so that no task gets all
     placed = counted.repartition(F.when(F.col("block") == "", F.col("range").cast("string")).otherwise(F.col("block"))).sortWithinPartitions("block", "range")
     sums = stage_table(map_arrow(placed, answer, answer_schema), "lm-sums")
-    n = sums.where(f"range >= 0 or range = {-1 - _SALTS}").agg(F.sum("total"), F.sum("n")).first()
-    subwords: dict[int, tuple[int, int]] = {}
-    for r in sums.where(f"range < 0 and range >= {-_SALTS}").select("counts").collect():  # each at most the tokenizer's vocabulary
-        x = np.frombuffer(bytes(r.counts), "<u8").astype(np.int64)
-        k = len(x) // 3
-        for i, (c, e) in zip(x[:k].tolist(), x[k:].reshape(k, 2).tolist(), strict=True):
-            old = subwords.get(i, (0, 0))
-            subwords[i] = (old[0] + c, old[1] + e)
-    return n[0] or 0, n[1] or 0, subwords
+    n = sums.where(f"range >= 0 or range = {_ENDS}").agg(F.sum("total"), F.sum("n"), F.sum(F.when(F.col("range") == _ENDS, F.col("total")))).first()
+    subwords: dict[int, int] = {}
+    for r in sums.where(f"range between {-_SALTS} and -1").select("counts").collect():  # each at most twice the tokenizer's vocabulary
+        for i, c in np.frombuffer(bytes(r.counts), "<i8").reshape(2, -1).T.tolist():
+            subwords[i] = subwords.get(i, 0) + c
+    return sums.where(f"range = {_LISTED}").select("block"), n[0] or 0, n[1] or 0, n[2] or 0, subwords
 
 
 class Coder:
-    """Subword ids to model ids. rare: ln of the share of each id that shares the last model id."""
+    """Marked subwords to model ids. rare: ln of the share of each that has the last model id, else 0."""
 
-    def __init__(self, subwords: dict[int, tuple[int, int]], ends: int):
-        ranked = sorted((i for i, (c, _) in subwords.items() if c), key=lambda i: (-subwords[i][0], i))
+    def __init__(self, subwords: dict[int, int], ends: int):
+        ranked = sorted((i for i, c in subwords.items() if c), key=lambda i: (-subwords[i], i))
         kept, rest = ranked[: VOCABULARY - 2], ranked[VOCABULARY - 2 :]
-        self.ids = np.full(2**17, VOCABULARY - 1, dtype=np.int64)
+        size = max(subwords, default=0) + 1
+        self.ids = np.full(size, VOCABULARY - 1, dtype=np.int32)
         self.ids[kept] = np.arange(1, len(kept) + 1)
-        # ids outside: one is added to each count, so that unseen ids have a share
-        outside = sum(subwords[i][0] for i in rest) + 2**17
-        self.rare = np.zeros(2**17)
-        self.rare[:] = np.log(1 / outside)
-        for i in rest:
-            self.rare[i] = np.log((subwords[i][0] + 1) / outside)
+        outside = sum(subwords[i] for i in rest) + _LEAST * size
+        share = np.full(size, _LEAST)
+        share[rest] += [subwords[i] for i in rest]
+        self.rare = np.log(share / outside)
         self.rare[kept] = 0
-        self.counts, self.ends = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-        self.counts[0] = self.ends[0] = ends
-        for k, i in enumerate(kept, 1):
-            self.counts[k], self.ends[k] = subwords[i]
-        self.counts[-1], self.ends[-1] = sum(subwords[i][0] for i in rest), sum(subwords[i][1] for i in rest)
-
-    def lay(self, lengths: np.ndarray, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray):
-        """Tokens of documents: model ids, end-of-word marks, extra ln p, word number of each token, tokens of each document.
-
-        lengths, ids: of the distinct words, from number 1; flat: word numbers, 0 for the end token.
-        """
-        n = np.append(1, lengths)
-        begin = np.cumsum(n) - n
-        every = np.append(0, self.ids[ids])
-        rare = np.append(0.0, self.rare[ids])
-        final = np.zeros(len(every), dtype=bool)
-        final[begin + n - 1] = True
-        count = n[flat]
-        ends = np.cumsum(count)
-        at = np.arange(int(count.sum())) - np.repeat(ends - count, count) + np.repeat(begin[flat], count)
-        tokens = np.add.reduceat(count, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
-        return every[at], final[at], rare[at], np.repeat(np.arange(len(flat)), count), tokens
-
-
-def learn_weights(rows: DataFrame, coder: Coder, tokenizer: str, doc_key: str) -> dict[str, np.ndarray]:
-    """rows: text and doc_key of training texts only."""
-    spark = rows.sparkSession
-    weights = A.initial(coder.counts, coder.ends)
-    schema = fields("part int, tokens double, weights binary")
-    for number in range(ROUNDS):
-        mine = rows.where(F.pmod(F.xxhash64(F.lit("lm"), doc_key), F.lit(ROUNDS)) == number).select("text")
-        shared = spark.sparkContext.broadcast((coder, weights))
-
-        def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            coder_, start = shared.value
-            t, rng, spell = A.Trainer(start), np.random.default_rng(7), speller(tokenizer)
-            for _, docs in in_blocks(batches, 20_000):
-                b = Block(docs)
-                ids, final, _, _, tokens = coder_.lay(*b.spelled(spell), b.flat, b.sizes)
-                t.train(ids, final, tokens, 0, rng)
-            if t.tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(t.tokens)]), pa.array([(A.packed(t.p).astype(np.float32)).tobytes()], pa.binary())], names=schema.names)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, tokens = None, 0.0
-            for batch in batches:
-                for n, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    x = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * n
-                    total = x if total is None else total + x
-                    tokens += n
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], names=schema.names)
-
-        trained = stage_table(map_arrow(mine, train, schema), "lm-weights")
-        groups = max(1, isqrt(trained.count()))
-        sums = [(r.tokens, np.frombuffer(bytes(r.weights), np.float32).astype(np.float64)) for r in map_arrow(trained.repartition(groups, "part"), add, schema).collect()]
-        if sums:
-            weights = A.unpacked(sum(n * x for n, x in sums) / sum(n for n, _ in sums), weights)
-    return weights
+        self.counts = np.zeros(VOCABULARY)
+        self.counts[0] = ends
+        self.counts[1 : len(kept) + 1] = [subwords[i] for i in kept]
+        self.counts[-1] = sum(subwords[i] for i in rest)
+
+
+class Laid:
+    """A block's words as tokens of the model."""
+
+    def __init__(self, b: Kept, coder: Coder):
+        self.b, self.n = b, np.append(1, b.lengths)
+        self.begin = np.cumsum(self.n) - self.n
+        self.every = np.append(0, coder.ids[b.ids]).astype(np.int32)
+        #: what ln p of each distinct word has beside its tokens'
+        self.rare = np.add.reduceat(np.append(0.0, coder.rare[b.ids]), self.begin)
+
+    def parts(self, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A few documents at a time (rows: only those): document numbers, word numbers, tokens, word of each token, tokens of each document."""
+        b = self.b
+        picked = np.arange(len(b.sizes)) if rows is None else np.flatnonzero(rows)
+        sizes, first = b.sizes[picked], (np.cumsum(b.sizes) - b.sizes)[picked]
+        cut = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // LAID)) + 1).tolist(), len(picked)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            if lo == hi:
+                continue
+            own = sizes[lo:hi]
+            ends = np.cumsum(own)
+            flat = b.flat[np.arange(int(ends[-1])) + np.repeat(first[lo:hi] - (ends - own), own)]
+            n = self.n[flat]
+            last = np.cumsum(n)
+            tokens = self.every[np.arange(int(last[-1])) + np.repeat(self.begin[flat] - (last - n), n)]
+            yield picked[lo:hi], flat, tokens, np.repeat(np.arange(len(flat)), n), np.add.reduceat(n, ends - own)
+
+
+def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: int) -> tuple[np.ndarray, float]:
+    """The model's weights, and its part of the mixture. blocks: names of the files below folder."""
+    spark = blocks.sparkSession
+    flat, part = A.initial(coder.counts), PARTS[0]
+    schema = fields("block string, tokens double, weights binary, likely binary")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder_, start = shared.value
+        files, sums = Files(f"{folder}/blocks"), Files(f"{folder}/sums")
+        model_parts = np.array(PARTS)[:, None]
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                b = Kept(files.read(name))
+                counts = np.append(ends, np.frombuffer(sums.read(name), "<i8"))
+                # a word's share of the other tokens
+                share = np.maximum(counts - 1, 0) / max(1, n - 1)
+                laid, t, rng = Laid(b, coder_), A.Trainer(start), np.random.default_rng(7)
+                tokens, likely = 0, np.zeros(len(PARTS))
+                for _, words, ids, word, sizes in laid.parts(b.learn):
+                    own = np.exp(np.bincount(word, t.train(ids, sizes, 0, rng), len(words)) + laid.rare[words])
+                    likely += np.log(np.maximum(model_parts * own + (1 - model_parts) * share[words], 1e-300)).sum(axis=1)
+                    tokens += len(ids)
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(tokens)]), pa.array([t.flat.tobytes()], pa.binary()), pa.array([likely.tobytes()], pa.binary())], names=schema.names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, likely, tokens = 0.0, 0.0, 0.0
+        for batch in batches:
+            for k, w, x in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                total = total + np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * k
+                likely = likely + np.frombuffer(x.as_buffer())
+                tokens += k
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([tokens]), pa.array([total.tobytes()], pa.binary()), pa.array([likely.tobytes()], pa.binary())], names=schema.names)
+
+    begin = 0
+    for share in SCHEDULE:
+        mine = blocks.where(F.pmod(F.xxhash64(F.lit("lm"), "block"), F.lit(sum(SCHEDULE))).between(begin, begin + share - 1))
+        begin += share
+        shared = spark.sparkContext.broadcast((coder, flat))
+        trained = stage_table(map_arrow(spread(mine), train, schema), "lm-weights")
+        groups = isqrt(trained.count())
+        if not groups:
+            continue
+        # groups and the order in them follow the blocks' names, so that sums are the same each time
+        dealt = trained.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition(groups, "group").sortWithinPartitions("group", "block").drop("group")
+        sums = sorted((r.tokens, bytes(r.weights), bytes(r.likely)) for r in map_arrow(dealt, add, schema).collect())
+        flat = (sum(np.frombuffer(w) for _, w, _ in sums) / sum(k for k, _, _ in sums)).astype(np.float32)
+        part = PARTS[int(np.argmax(sum(np.frombuffer(x) for _, _, x in sums)))]
+    return flat, part
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """Names of blocks dealt evenly, one or a few to a task."""
+    most = 8 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(max(1, min(blocks.count(), most)))
 
 
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_texts(documents: DataFrame, learn, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, stable: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+def score_texts(documents: DataFrame, learn, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, bucket_bytes: int = BUCKET_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score. learn: a condition, true for training rows.
 
-    base_score is that of the word counts alone. stable: the rows are read from files, so that two passes get them in one order.
+    base_score is that of the word counts alone. Other columns of documents, whatever their names, don't matter.
     """
-    from tessera.llm.token_output import default_tokenizer
-
     tokenizer = tokenizer or default_tokenizer()
     spark = documents.sparkSession
     rows = documents.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    if not stable:
-        rows = stage_table(rows, "lm-rows")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(LEAST_RANGES.bit_length() - 1, (total // RANGE_BYTES).bit_length())
-    folder = workspace(spark, "lm-words")
-    n, v, subwords = count_words(rows.select("text", "learn"), folder, bits, tokenizer, block_words)
-    ends = rows.where("learn").count()
+    bits = (total // RANGE_BYTES).bit_length()
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("hash", F.lit(total // bucket_bytes + 1)))
+    folder = workspace(spark, "lm-blocks")
+    blocks, n, v, ends, subwords = count_words(rows, folder, bits, tokenizer, block_words)
     coder = Coder(subwords, ends)
-    weights = learn_weights(rows.where("learn"), coder, tokenizer, "doc_id")
-    shared = spark.sparkContext.broadcast((coder, weights))
+    flat, part = learn_weights(blocks, folder, coder, n, ends)
+    shared = spark.sparkContext.broadcast((coder, flat))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("learned", T.BooleanType()), *fields(SCORES).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        coder_, model = shared.value
-        scorer, spell = A.Scorer(model), speller(tokenizer)
-        for rows_, docs in in_blocks(batches, block_words):
-            b = Block(docs)
-            counts = np.zeros(len(b.words) + 1, dtype=np.int64)
-            counts[0] = ends
-            if b.words:
-                with files.open_input_file(f"{root}/{b.name}") as f:
-                    counts[1:][b.order] = np.frombuffer(f.read(), "<u8").astype(np.int64)
-            share = (counts + 0.5) / (n + 0.5 * (v + 1))
-            begin = np.cumsum(b.sizes) - b.sizes
-            base = np.add.reduceat(np.log10(share)[b.flat], begin)
-            known = np.add.reduceat((counts > 0)[b.flat].astype(np.int64), begin)
-            lengths, ids = b.spelled(spell)
-            score = np.zeros(len(docs))
-            # a few documents at a time: tokens are many times the words
-            cut = [0, *(np.flatnonzero(np.diff(np.cumsum(b.sizes) // 50_000)) + 1).tolist(), len(docs)]
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                flat = b.flat[begin[lo] : begin[hi - 1] + b.sizes[hi - 1]]
-                tokens, final, rare, word, sizes = coder_.lay(lengths, ids, flat, b.sizes[lo:hi])
-                ln = np.bincount(word, scorer(tokens, final, sizes, 0) + rare, len(flat))
-                own = np.where(counts[flat] > 0, np.log(share[flat]), -np.inf)
-                both = np.logaddexp(ln + np.log(MIX), own + np.log(1 - MIX)) / np.log(10)
-                score[lo:hi] = np.add.reduceat(both, begin[lo:hi] - begin[lo])
-            columns = [rows_.column("doc_id").combine_chunks(), rows_.column("learn").combine_chunks(), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(docs), n)), pa.array(base), pa.array(score)]
-            yield from pa.Table.from_arrays(columns, names=arrow.names).combine_chunks().to_batches()
-
-    return map_arrow(rows, run, schema)
+        files, sums = Files(f"{folder}/blocks"), Files(f"{folder}/sums")
+        coder_, weights = shared.value
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                b = Kept(files.read(name))
+                counts = np.append(ends, np.frombuffer(sums.read(name), "<i8"))
+                share = (counts + 0.5) / (n + 0.5 * (v + 1))
+                begin = np.cumsum(b.sizes) - b.sizes
+                base = np.add.reduceat(np.log10(share)[b.flat], begin)
+                known = np.add.reduceat((counts > 0)[b.flat].astype(np.int64), begin)
+                with np.errstate(divide="ignore"):
+                    own = np.log(np.where(counts > 0, share, 0)) + np.log(1 - part)
+                laid, score = Laid(b, coder_), np.zeros(len(b.sizes))
+                for docs, words, ids, word, sizes in laid.parts():
+                    ln = np.bincount(word, A.score(weights, ids, sizes, 0), len(words)) + laid.rare[words] + np.log(part)
+                    first = np.cumsum(b.sizes[docs]) - b.sizes[docs]
+                    score[docs] = np.add.reduceat(np.logaddexp(ln, own[words]), first) / np.log(10)
+                columns = [b.rows.column("doc_id").combine_chunks(), pa.array(b.learn), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(score), n)), pa.array(base), pa.array(score)]
+                yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches(max_chunksize=10_000)
+
+    return map_arrow(spread(blocks), run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = score_texts(docs, remainder(F.col("doc_id"), 5) != 1, stable=True)
+    got = score_texts(docs, remainder(F.col("doc_id"), 5) != 1)
     return got.select("doc_id", (~F.col("learned")).alias("held_out"), *(x.split()[0] for x in SCORES.split(", ")))

@@ -25,7 +25,7 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\W_{_DIGITS}])+| ?[{_DIGI
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
-def _byte_chars() -> dict[int, str]:
+def byte_chars() -> dict[int, str]:
     """The kind's printable stand-in for each byte: itself if printable in Latin-1, else the next from U+0100."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -44,7 +44,7 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.local = spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["model"].get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.bytes = _byte_chars()
+        self.bytes = byte_chars()
         self.model = self.whole.model
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
