@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 
 #: Production parameters: width, ids of the vocabulary = CLASSES * CLASSES, scored places of a window and places of context before them.
-WIDTH, CLASSES, SCORED, CONTEXT = 16, 40, 16, 8
+WIDTH, CLASSES, SCORED, CONTEXT = 16, 40, 24, 8
 SPAN = CONTEXT + SCORED
 #: Windows scored at once, and to a step of training.
-BATCH, STEP = 256, 384
+BATCH, STEP = 160, 160
 #: Adam's step, decays and the number of steps after which its start counts no more.
 RATE, FIRST, SECOND, WARM = 0.01, 0.9, 0.99, 500
 _F = np.float32
@@ -202,29 +202,32 @@ class Trainer:
         # through attention
         s = f.s
         s *= f.share
-        dh = np.zeros((len(da), SPAN, 4 * d), _F)
-        dh[:, CONTEXT:, 3 * d :] = da
+        own = np.empty((len(da), SCORED, 2 * d), _F)  # to query and rest of the scored places
+        seen = np.empty((len(da), SPAN, 2 * d), _F)  # to key and value of all places
+        own[:, :, d:] = da
         ds = np.matmul(da, f.v.transpose(0, 2, 1))
-        dh[:, :, 2 * d : 3 * d] = np.matmul(s.transpose(0, 2, 1), da)
+        np.matmul(s.transpose(0, 2, 1), da, out=seen[:, :, d:])
         ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
         ds *= s
-        dh[:, CONTEXT:, :d] = np.matmul(ds, f.k)
-        dh[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), f.q)
+        np.matmul(ds, f.k, out=own[:, :, :d])
+        np.matmul(ds.transpose(0, 2, 1), f.q, out=seen[:, :, :d])
         # to the maps, and by id to the embeddings
-        scale = np.ones(4 * d, _F)
-        scale[:d] = WIDTH**-0.5
-        w = p["W"] * scale
-        dplace = dh.sum(axis=0)
-        dh = dh.reshape(-1, 4 * d)
+        own[:, :, :d] *= _F(WIDTH**-0.5)
+        mine, theirs = np.r_[0:d, 3 * d : 4 * d], slice(d, 3 * d)
+        w_own, w_seen = np.ascontiguousarray(p["W"][:, mine].T), np.ascontiguousarray(p["W"][:, theirs].T)
+        e = p["E"].take(f.x, axis=0)
+        e += p["P"]
+        g["W"][:, theirs] = e.reshape(-1, d).T @ seen.reshape(-1, 2 * d)
+        g["W"][:, mine] = e[:, CONTEXT:].reshape(-1, d).T @ own.reshape(-1, 2 * d)
+        de = (seen.reshape(-1, 2 * d) @ w_seen).reshape(-1, SPAN, d)
+        de[:, CONTEXT:] += (own.reshape(-1, 2 * d) @ w_own).reshape(-1, SCORED, d)
+        g["P"][:] = de.sum(axis=0)
         x = f.x.ravel()
-        g["W"][:] = (p["E"].take(x, axis=0).T @ dh + p["P"].T @ dplace) * scale
-        g["P"][:] = dplace @ w.T
-        de = dh @ w.T
         order = np.argsort(x.astype(np.int16), kind="stable")
         x = x[order]
         cut = np.flatnonzero(np.diff(x, prepend=-1))
         g["E"][:] = 0
-        g["E"][x[cut]] = np.add.reduceat(de[order], cut, axis=0)
+        g["E"][x[cut]] = np.add.reduceat(de.reshape(-1, d)[order], cut, axis=0)
 
     def _adam(self) -> None:
         self.steps += 1

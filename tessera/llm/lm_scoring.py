@@ -65,7 +65,7 @@ PARTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 VOCABULARY = A.CLASSES * A.CLASSES
 #: Words laid out as tokens at once.
 LAID = 100_000
-_CACHE = 300_000
+_CACHE = 2_000_000
 #: Subword counts are summed by so many tasks.
 _SALTS = 16
 #: Ranges that are no hashes: subwords, then the end tokens and the list of blocks.
@@ -94,24 +94,57 @@ def _ranked(path: str):
     return tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-class Speller(dict):
-    """word -> its marked subwords, kept up to a bound: twice the id, and one more for the last."""
+def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places begin[k], begin[k] + 1 ... of n[k] each, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - n), n)
+
+
+class Speller:
+    """Words to marked subwords: twice the id, and one more for the last. Keeps the spellings of so many words, by hash."""
 
     def __init__(self, path: str):
-        super().__init__()
         ranked = _ranked(path)
         if ranked:
             self.encode = ranked.encode_ordinary
+            #: which ids begin with the space that goes before a word
+            self.first = np.zeros(ranked.n_vocab, dtype=bool)
+            self.first[[i for b, i in ranked._mergeable_ranks.items() if b[:1] == b" "]] = True
         else:
             whole = encoder(path)
-            self.encode = lambda s: np.frombuffer(whole(s), "<u4").tolist()
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = [2 * i for i in self.encode(" " + word.decode("utf-8", "replace"))]
-        ids[-1] += 1
-        if len(self) < _CACHE:
-            self[word] = ids
-        return ids
+            self.encode, self.first = lambda s: np.frombuffer(whole(s), "<u4").tolist(), None
+        self.hashes, self.begin, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.first is not None:
+            # a space splits pieces, so that words side by side are spelled as each alone
+            ids = np.array(self.encode((b" " + b" ".join(words)).decode("utf-8", "replace")), dtype=np.int32)
+            begin = np.flatnonzero(self.first[ids])
+            if len(begin) == len(words) and begin[0] == 0:
+                return np.diff(np.append(begin, len(ids))).astype(np.int32), ids
+        every = [self.encode(" " + w.decode("utf-8", "replace")) for w in words]
+        return np.array([len(x) for x in every], dtype=np.int32), np.array([i for x in every for i in x], dtype=np.int32)
+
+    def __call__(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths, and marked subwords one after the other. hashes: of the words, in ascending order."""
+        at = np.searchsorted(self.hashes, hashes)
+        old = at < len(self.hashes)
+        old[old] = self.hashes[at[old]] == hashes[old]
+        new = np.flatnonzero(~old)
+        lengths, begin = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+        lengths[old], begin[old] = self.lengths[at[old]], self.begin[at[old]]
+        ids = self.ids
+        if len(new):
+            n, fresh = self._spell([words[k] for k in new.tolist()])
+            ends = np.cumsum(n)
+            fresh = 2 * fresh
+            fresh[ends - 1] += 1
+            lengths[new], begin[new] = n, ends - n + len(ids)
+            ids = np.concatenate([ids, fresh])
+            if len(self.hashes) + len(new) <= _CACHE:
+                self.ids = ids
+                self.hashes, self.begin, self.lengths = (np.insert(x, at[new], y[new]) for x, y in ((self.hashes, hashes), (self.begin, begin), (self.lengths, lengths)))
+        return lengths, ids[ragged(begin, lengths)]
 
 
 _spellers: dict[str, Speller] = {}
@@ -153,9 +186,7 @@ class Block:
 
     def spelled(self, spell: Speller) -> tuple[np.ndarray, np.ndarray]:
         """Of all distinct words: lengths, and marked subwords one after the other. The end token has none here."""
-        every = [spell[w] for w in self.words]
-        lengths = np.fromiter(map(len, every), dtype=np.int32, count=len(every))
-        return lengths, np.fromiter((i for x in every for i in x), dtype=np.int32, count=int(lengths.sum()))
+        return spell(self.words, self.hashes)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -397,12 +428,9 @@ class Laid:
             if lo == hi:
                 continue
             own = sizes[lo:hi]
-            ends = np.cumsum(own)
-            flat = b.flat[np.arange(int(ends[-1])) + np.repeat(first[lo:hi] - (ends - own), own)]
+            flat = b.flat[ragged(first[lo:hi], own)]
             n = self.n[flat]
-            last = np.cumsum(n)
-            tokens = self.every[np.arange(int(last[-1])) + np.repeat(self.begin[flat] - (last - n), n)]
-            yield picked[lo:hi], flat, tokens, np.repeat(np.arange(len(flat)), n), np.add.reduceat(n, ends - own)
+            yield picked[lo:hi], flat, self.every[ragged(self.begin[flat], n)], np.repeat(np.arange(len(flat)), n), np.add.reduceat(n, np.cumsum(own) - own)
 
 
 def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: int) -> tuple[np.ndarray, float]:
