@@ -75,7 +75,7 @@ class Pass:
         inside = at[edge]
         self.x[edge] = np.where(inside > first[edge, None], self.x[edge], bos)
         real = (inside >= first[edge, None]) & (inside < end[edge, None])
-        h = table.take(self.x, axis=0)
+        h = table.take(self.x, axis=0, mode="clip")
         h += place
         self.q, self.k, self.v, r = h[:, CONTEXT:, :d], h[:, :, d : 2 * d], h[:, :, 2 * d : 3 * d], h[:, CONTEXT:, 3 * d :]
         s = np.matmul(self.q, self.k.transpose(0, 2, 1))
@@ -100,12 +100,14 @@ class Pass:
         self.gs, self.c, self.inside = self.g[self.order], t // CLASSES, t % CLASSES
         self.cut = np.searchsorted(self.c, np.arange(CLASSES + 1)).tolist()
         self.rows = np.arange(len(t))
-        self.z = _softmax(self.gs @ p["C"].T)
+        # hidden units are at most one: where the weights' sums are small, exp stays finite without a look at its values
+        wild = float(max(np.abs(p["C"]).sum(axis=1).max(), np.abs(p["U"]).sum(axis=2).max())) > 80
+        self.z = _softmax(self.gs @ p["C"].T, wild)
         y = np.empty((len(t), CLASSES), _F)
         for k in range(CLASSES):
             if self.cut[k] < self.cut[k + 1]:
                 np.matmul(self.gs[self.cut[k] : self.cut[k + 1]], p["U"][k].T, out=y[self.cut[k] : self.cut[k + 1]])
-        self.y = _softmax(y)
+        self.y = _softmax(y, wild)
         chance = self.z[self.rows, self.c] * self.y[self.rows, self.inside]
         self.ln = np.empty(len(t), _F)
         self.ln[self.order] = np.log(np.maximum(chance, _F(1e-37)))
@@ -124,8 +126,9 @@ class Pass:
 _ONES = np.ones(CLASSES, _F)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, _F(60), out=z)
+def _softmax(z: np.ndarray, wild: bool) -> np.ndarray:
+    if wild:
+        np.minimum(z, _F(80), out=z)
     np.exp(z, out=z)
     z *= (1 / (z @ _ONES + _F(1e-30)))[:, None]
     return z
@@ -215,7 +218,7 @@ class Trainer:
         own[:, :, :d] *= _F(WIDTH**-0.5)
         mine, theirs = np.r_[0:d, 3 * d : 4 * d], slice(d, 3 * d)
         w_own, w_seen = np.ascontiguousarray(p["W"][:, mine].T), np.ascontiguousarray(p["W"][:, theirs].T)
-        e = p["E"].take(f.x, axis=0)
+        e = p["E"].take(f.x, axis=0, mode="clip")
         e += p["P"]
         g["W"][:, theirs] = e.reshape(-1, d).T @ seen.reshape(-1, 2 * d)
         g["W"][:, mine] = e[:, CONTEXT:].reshape(-1, d).T @ own.reshape(-1, 2 * d)

@@ -156,6 +156,16 @@ def speller(path: str) -> Speller:
     return _spellers[path]
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    """Binary or string values, none of them null."""
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    every = data.to_pybytes() if data is not None else b""
+    return [every[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 class Block:
     """Whole documents as numbers of distinct words, in the order of the words' hashes. Number 0 is the end token."""
 
@@ -171,7 +181,7 @@ class Block:
 
     def _number(self, sizes: np.ndarray, words: pa.Array) -> None:
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        distinct = _bytes(coded.dictionary)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), dtype=np.int32)
