@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +31,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+class Files:
+    """Files of a shared folder, each written whole or not at all."""
+
+    def __init__(self, uri: str):
+        self.files, self.root = pafs.FileSystem.from_uri(uri)
+        self.files.create_dir(self.root, recursive=True)
+
+    def write(self, name: str, parts: list) -> None:
+        own = f"{self.root}/.{name}-{np.random.SeedSequence().entropy:x}"
+        with self.files.open_output_stream(own) as out:
+            for x in parts:
+                out.write(x)
+        try:
+            self.files.move(own, f"{self.root}/{name}")
+        except OSError:  # another attempt's file, of the same content, is there
+            if self.files.get_file_info(f"{self.root}/{name}").type != pafs.FileType.File:
+                raise
+            self.files.delete_file(own)
+
+    def read(self, name: str) -> pa.Buffer:
+        with self.files.open_input_stream(f"{self.root}/{name}") as f:
+            return pa.py_buffer(f.read())
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with this package shipped to the workers; columns with dots in their names pass under other names."""
     ship(df.sparkSession)

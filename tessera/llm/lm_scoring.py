@@ -42,7 +42,6 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import attention as A
-from tessera.llm.common import fields, map_arrow, stage_table, table, workspace
+from tessera.llm.common import Files, fields, map_arrow, stage_table, table, workspace
 from tessera.llm.tokenizing import byte_chars, encoder
 from tessera.llm.token_output import default_tokenizer
 from tessera.llm.toxicity import remainder
@@ -247,30 +246,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[t
         yield close()
 
 
-class Files:
-    """Files of a shared folder, each written whole or not at all."""
-
-    def __init__(self, uri: str):
-        self.files, self.root = pafs.FileSystem.from_uri(uri)
-        self.files.create_dir(self.root, recursive=True)
-
-    def write(self, name: str, parts: list) -> None:
-        own = f"{self.root}/.{name}-{np.random.SeedSequence().entropy:x}"
-        with self.files.open_output_stream(own) as out:
-            for x in parts:
-                out.write(x)
-        try:
-            self.files.move(own, f"{self.root}/{name}")
-        except OSError:  # another attempt's file, of the same content, is there
-            if self.files.get_file_info(f"{self.root}/{name}").type != pafs.FileType.File:
-                raise
-            self.files.delete_file(own)
-
-    def read(self, name: str) -> pa.Buffer:
-        with self.files.open_input_stream(f"{self.root}/{name}") as f:
-            return pa.py_buffer(f.read())
-
-
 _PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
