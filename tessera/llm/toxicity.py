@@ -3,7 +3,7 @@
 Voters are words and word beginnings, from a fixed lexicon and from terms that
 training labels favour, and patterns of writing. Terms are counted in Spark
 over a sample of at most SAMPLE labelled training rows, taken by hash of
-doc_id; they become voters while the expected share of chance finds stays
+doc_id, one for each; they become voters while the expected share of chance finds stays
 below FALSE_SHARE (Benjamini-Hochberg).
 
 A generative label model with a hidden class per document explains all votes,
@@ -15,7 +15,7 @@ and scores every whole text, one row at a time; text is its only input.
 
 Defined results: null or empty text fires nothing and gets the base score;
 labels with a null doc_id or toxic are ignored; of several labels of one
-doc_id the largest counts; without labels of both kinds the lexicon alone
+doc_id the largest counts, of several texts the smallest is learned from; without labels of both kinds the lexicon alone
 decides; repeated rows get equal scores; an empty table gives an empty table.
 """
 
@@ -100,11 +100,13 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most ``size`` labelled rows that are not held out; a doc_id's rows all come."""
+    """text, toxic of at most ``size`` labelled rows that are not held out, one for each doc_id: that of the smallest text."""
     chosen = labels_of(labels).where(remainder(F.col("doc_id"), 3) != 1).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(size)
     # bounded by ``size`` rows of two numbers
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return stage_table(rows.select("text", "toxic"), "toxicity-sample")
+    # texts of one doc_id are combined before the shuffle, however many
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return stage_table(one.select("text", "toxic"), "toxicity-sample")
 
 
 def find_terms(sample: DataFrame, base: float) -> list[str]:
