@@ -54,6 +54,11 @@ class Files:
         with self.files.open_input_stream(f"{self.root}/{name}") as f:
             return pa.py_buffer(f.read())
 
+    def read_if(self, name: str) -> pa.Buffer:
+        """Empty if there is no such file."""
+        there = self.files.get_file_info(f"{self.root}/{name}").type == pafs.FileType.File
+        return self.read(name) if there else pa.py_buffer(b"")
+
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with this package shipped to the workers; columns with dots in their names pass under other names."""

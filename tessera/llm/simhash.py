@@ -13,12 +13,17 @@ partition i at threshold t are N*N/2 times the chance that two fingerprints
 differ there in t bits or less, a beta-binomial law with the mean and variance
 that the counts give. A signature is the partition's value with t of its bits
 masked out; equal signatures meet in one run of a sorted shuffle, where whole
-fingerprints verify. A run puts out a spanning forest of its links, not its
-pairs, and components are found from those.
+fingerprints verify. A signature that more than RUN fingerprints share is cut
+into parts by hash, and each pair of parts is a run of its own, so no task
+holds more. A run puts out a spanning forest of its links, not its pairs, and
+components are found from those.
 
 Defined results: null or empty text has fingerprint 0 and links like any
 other; a null doc_id takes part, and names a component only if all its ids
-are null; repeated rows are copies; an empty table gives an empty table.
+are null; repeated rows are copies; an empty table gives an empty table. Of a
+group the row stays that is least by doc_id (null first), fingerprint as a
+signed number, MD5 of the text (null first) and a hash of all columns; rows
+equal in all of these are interchangeable.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, append, fields, fresh, map_arrow, stage_table, table
+from tessera.llm.common import LOWER, Files, append, fields, fresh, map_arrow, stage_table, table, workspace
 from tessera.llm.components import components
 
 #: Production parameters.
@@ -42,6 +47,8 @@ DISTANCE, SHINGLE, HASH_SEED = 3, 3, 42
 PAIR_COST = 0.02
 #: Runs up to this size compare all pairs at once, longer ones spread from node to node.
 SQUARE = 2048
+#: Fingerprints that one run may have.
+RUN = 50_000
 _CHUNK = 100_000
 
 
@@ -232,13 +239,27 @@ def run_links(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: in
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def links_of(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def split_runs(signed: DataFrame, most: int = RUN) -> DataFrame:
+    """(key, fp) with other keys for those that more than ``most`` rows share: all pairs of parts of at most half as many."""
+    counts = signed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = stage_table(counts.select("key", F.ceil(F.col("n") * 2 / most).cast("int").alias("parts")), "hot-keys")
+    if hot.isEmpty():
+        return signed
+    both = signed.join(hot, "key", "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    halves = both.where("parts is not null").select("key", "fp", own.alias("own"), other.alias("other"))
+    salted = halves.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    return both.where("parts is null").select("key", "fp").unionByName(salted)
+
+
+def links_of(prints: DataFrame, distance: int = DISTANCE, run: int = RUN) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within the distance."""
     n, together = bit_counts(prints)
     plan = allocate(n, together, distance)
     schema = fields("a bigint, b bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints = [], []
 
         def close(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -262,29 +283,80 @@ def links_of(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if keys:
             yield close(np.concatenate(keys), np.concatenate(prints))
 
-    met = signatures(prints, plan).repartition("key").sortWithinPartitions("key", "fp")
-    return map_arrow(met, run, schema).distinct()
+    met = split_runs(signatures(prints, plan), run).repartition("key").sortWithinPartitions("key", "fp")
+    return map_arrow(met, meet, schema).distinct()
+
+
+def groups_of(prints: DataFrame, least, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """prints: rows with fp; least: an order of rows. (fp, root) of each distinct fingerprint, and (root, least) of each component."""
+    distinct = stage_table(prints.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
+    roots = components(links_of(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return linked.select("fp", "root"), linked.groupBy("root").agg(F.min("least").alias("least"))
 
 
 def near_duplicates(documents: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id of each row of documents (doc_id, text)."""
     rows = stage_table(with_fingerprint(documents.select(F.col("doc_id").cast("bigint"), "text"), "fp").select("doc_id", "fp"), "prints")
-    distinct = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links_of(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(linked.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    linked, smallest = groups_of(rows, F.col("doc_id"), distance)
+    return rows.join(linked.join(smallest, "root").select("fp", F.col("least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(documents: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component stays, that of the smallest (doc_id, fingerprint), with its own columns only."""
-    groups = near_duplicates(documents, distance=distance)
-    one = groups.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull()).agg(F.min(F.struct("doc_id", "fp")).alias("kept"))
-    kept = one.select(F.col("kept.doc_id").alias("k"), F.col("kept.fp").alias("f"))
+    """One row of each component stays, with its own columns only.
+
+    Rows lie in the shared folder with their fingerprints; only ids and
+    fingerprints are shuffled. The places of the rows that stay are written
+    beside each file, and a scan of the files picks them out.
+    """
     fp = fresh(documents, "fp_of_text")
-    rows = with_fingerprint(documents, fp)
-    both = rows.join(kept, F.col(f"`{fp}`").eqNullSafe(kept.f) & F.col("doc_id").cast("bigint").eqNullSafe(kept.k), "left_semi")
-    return both.dropDuplicates(["doc_id", fp]).drop(fp)
+    rows = stage_table(with_fingerprint(documents, fp), "dedup-texts")
+    file, at = rows.metadataColumn("_metadata")["file_path"], rows.metadataColumn("_metadata")["row_index"]
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns))
+    keys = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{fp}`").alias("fp"), F.md5(F.col("text").cast("binary")).alias("text"), every.alias("row"), file.alias("file"), at.alias("at"))
+    least = groups_of(keys, F.struct("doc_id", "fp", "text", "row", "file", "at"), distance)[1]
+    folder = workspace(documents.sparkSession, "dedup-kept")
+    done = fields("file string")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, name, parts = Files(folder), None, []
+
+        def close() -> pa.RecordBatch:
+            files.write(name.rpartition("/")[2], [np.sort(np.concatenate(parts)).astype("<i8").tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            cut = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if lo == hi:
+                    continue
+                if names[lo] != name and parts:
+                    yield close()
+                    parts = []
+                name = names[lo]
+                parts.append(batch.column(1).slice(lo, hi - lo).to_numpy())
+        if parts:
+            yield close()
+
+    kept = least.select("least.file", "least.at").repartition("file").sortWithinPartitions("file")
+    stage_table(map_arrow(kept, write, done), "dedup-files")
+    there, place = fresh(rows, "file_of_row"), fresh(rows, "place_of_row")
+    scan = rows.withColumn(there, file).withColumn(place, at).drop(fp)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, name, stay = Files(folder), None, np.zeros(0, np.int64)
+        for batch in batches:
+            names = batch.column(batch.num_columns - 2).dictionary_encode()
+            places, own = batch.column(batch.num_columns - 1).to_numpy(), names.indices.to_numpy()
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, x in enumerate(names.dictionary.to_pylist()):
+                if x != name:
+                    name, stay = x, np.frombuffer(files.read_if(x.rpartition("/")[2]), "<i8")
+                keep |= (own == k) & np.isin(places, stay)
+            yield batch.select(range(batch.num_columns - 2)).filter(pa.array(keep))
+
+    return map_arrow(scan, pick, documents.schema).toDF(*documents.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
