@@ -19,6 +19,12 @@ SPACE = "\\x20\\x09-\\x0D"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def spread(names: DataFrame) -> DataFrame:
+    """Names of files dealt evenly, one or a few to a task."""
+    most = 8 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(max(1, min(names.count(), most)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +37,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def packed(table: pa.Table) -> pa.Buffer:
+    """As a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=_PACKED) as w:
+        w.write_table(table)
+    return sink.getvalue()
+
+
 class Files:
     """Files of a shared folder, each written whole or not at all."""
 

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import attention as A
-from tessera.llm.common import Files, fields, map_arrow, stage_table, table, workspace
+from tessera.llm.common import Files, fields, map_arrow, packed, spread, stage_table, table, workspace
 from tessera.llm.tokenizing import byte_chars, encoder
 from tessera.llm.token_output import default_tokenizer
 from tessera.llm.toxicity import remainder
@@ -246,19 +246,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[t
         yield close()
 
 
-_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
-
-
-def _packed(tables: list[pa.Table]) -> list[pa.Buffer]:
-    out = []
-    for t in tables:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=_PACKED) as w:
-            w.write_table(t)
-        out.append(sink.getvalue())
-    return out
-
-
 class Kept:
     """A block's file: rows (doc_id, learn, size), word numbers, lengths and marked subwords of the distinct words."""
 
@@ -271,7 +258,7 @@ class Kept:
 
     @staticmethod
     def parts(rows: pa.Table, b: Block, lengths: np.ndarray, ids: np.ndarray) -> list[pa.Buffer]:
-        return _packed([rows.append_column("size", pa.array(b.sizes)), *(pa.table([pa.array(x)], names=["x"]) for x in (b.flat, lengths, ids))])
+        return [packed(t) for t in (rows.append_column("size", pa.array(b.sizes)), *(pa.table([pa.array(x)], names=["x"]) for x in (b.flat, lengths, ids)))]
 
 
 def count_words(rows: DataFrame, folder: str, bits: int, tokenizer: str, block_words: int) -> tuple[DataFrame, int, int, int, dict[int, int]]:
@@ -470,12 +457,6 @@ def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: in
     return flat, part
 
 
-def spread(blocks: DataFrame) -> DataFrame:
-    """Names of blocks dealt evenly, one or a few to a task."""
-    most = 8 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(max(1, min(blocks.count(), most)))
-
-
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 

@@ -5,15 +5,14 @@ every window of ``window`` words (polynomial hash modulo 2^64 over 64-bit word
 hashes), keeps each distinct hash once and sends it, packed with others of
 its range of hashes, to the task that counts this range. So a window that a
 third of all rows share is sent once per block. The count answers each block
-with one bit per distinct hash: seen in another block too. A second pass over
-the same rows makes the same blocks, reads its answer and merges repeated
-windows into maximal intervals of words.
+with one bit per distinct hash: seen in another block too.
 
-Answers lie in the shared folder under a name made of the block's words, so
-they suit whatever task makes the block; if the rows come in another order in
-the second pass, its block finds no answer and the job fails rather than
-guess. Rows are therefore staged first unless the caller says that they are
-read from files as they are. Nothing but hashes is shuffled.
+A block's rows and its answer are files of the shared folder. The second pass
+goes through the blocks by name, reads both and merges repeated windows into
+maximal intervals of words, so it doesn't matter how the input is split then
+or which executors are left. Rows are staged first unless the caller says that
+they are read from files as they are, so that a task that runs again makes the
+same blocks. Nothing but hashes is shuffled.
 
 Ranges are as many as the input asks for (RANGE_BYTES of text each). At 64
 bits, two of n windows share a hash by chance with n*n/2^65: about one in
@@ -29,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import fields, map_arrow, raw, shared_dir, stage_table, table, workspace  # noqa: F401
+from tessera.llm.common import Files, fields, map_arrow, packed, raw, spread, stage_table, table, workspace
 
 #: Production parameters.
 WINDOW = 35
@@ -128,20 +127,24 @@ def column_bytes(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
         yield from raw(batch.column(column).slice(lo, 500))
 
 
-def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window: int, block_words: int) -> None:
-    """Write the answer of every block: packed bits, one per distinct hash, range after range."""
+def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window: int, block_words: int) -> DataFrame:
+    """Write every block's rows and its answer: packed bits, one per distinct hash, range after range. Returns the blocks' names."""
     sent_schema = fields("range int, block string, hashes binary")
     answer_schema = fields("block string, range int, n int, seen binary")
     done_schema = fields("block string, ranges int")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, docs in in_blocks(batches, at, block_words):
+        files, partition = Files(f"{folder}/rows"), TaskContext.get().partitionId()
+        for seq, (held, docs) in enumerate(in_blocks(batches, at, block_words)):
             b = Block(docs, window)
+            name = f"{partition:06d}-{seq:05d}-{b.name}"
+            files.write(name, [packed(pa.Table.from_batches(held))])
             cut = b.cuts(bits)
-            some = np.flatnonzero(np.diff(cut))
+            # the first range always, so that every block gets an answer
+            some = np.union1d([0], np.flatnonzero(np.diff(cut)))
             for lo in range(0, len(some), 256):
                 part = some[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([b.name] * len(part)), pa.array([b.distinct[cut[r] : cut[r + 1]].tobytes() for r in part], pa.binary())], names=["range", "block", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([name] * len(part)), pa.array([b.distinct[cut[r] : cut[r + 1]].tobytes() for r in part], pa.binary())], names=["range", "block", "hashes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(number: int, blocks: list[str], parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -167,15 +170,11 @@ def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window:
             yield close(number, blocks, parts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        files = Files(f"{folder}/answers")
 
         def close(name: str, ranges: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
             seen = [np.unpackbits(np.frombuffer(ranges[r][1], np.uint8), count=ranges[r][0]) for r in sorted(ranges)]
-            own = f"{root}/.{name}-{np.random.SeedSequence().entropy:x}"
-            with files.open_output_stream(own) as out:
-                out.write(np.packbits(np.concatenate(seen)).tobytes())
-            files.move(own, f"{root}/{name}")
+            files.write(name, [np.packbits(np.concatenate(seen)).tobytes()])
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ranges)], pa.int32())], names=["block", "ranges"])
 
         name, ranges = None, {}
@@ -192,7 +191,7 @@ def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window:
     sent = map_arrow(documents, send, sent_schema)
     counted = map_arrow(sent.repartition("range").sortWithinPartitions("range"), count, answer_schema)
     answered = map_arrow(counted.repartition("block").sortWithinPartitions("block", "range"), answer, done_schema)
-    stage_table(answered, "answers")
+    return stage_table(answered, "answers").select("block")
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
@@ -202,7 +201,7 @@ def repeated_windows(documents: DataFrame, *, text: str = "text", window: int =
     """documents with a struct column ``found``: n_words, n_removed, spans (maximal intervals of words in repeated windows), kept (the other words, joined by spaces).
 
     ``found`` must not be a column of documents. stable: the rows are read
-    from files, so that two passes get them in one order.
+    from files, so that a task that runs again gets them in the same order.
     """
     spark = documents.sparkSession
     if not stable:
@@ -211,18 +210,19 @@ def repeated_windows(documents: DataFrame, *, text: str = "text", window: int =
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(LEAST_RANGES.bit_length() - 1, (total // RANGE_BYTES).bit_length())
     folder = workspace(spark, "windows")
-    count_windows(documents.select(text), 0, folder, bits, window, block_words)
+    blocks = count_windows(documents, at, folder, bits, window, block_words)
     schema = T.StructType([*documents.schema.fields, T.StructField(found, FOUND)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        for held, docs in in_blocks(batches, at, block_words):
+        files, answers = Files(f"{folder}/rows"), Files(f"{folder}/answers")
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            held = pa.ipc.open_stream(files.read(name)).read_all().to_batches()
+            docs = [x.split() if x else [] for batch in held for x in column_bytes(batch, at)]
             b = Block(docs, window)
             hit = np.zeros(b.total, dtype=bool)
             if len(b.distinct):
-                with files.open_input_file(f"{root}/{b.name}") as f:
-                    seen = np.unpackbits(np.frombuffer(f.read(), np.uint8), count=len(b.distinct)).astype(bool)
+                seen = np.unpackbits(np.frombuffer(answers.read(name), np.uint8), count=len(b.distinct)).astype(bool)
                 starts = b.at[(seen | b.twice)[b.inverse]]
                 mark = np.zeros(b.total + 1, dtype=np.int32)
                 mark[starts] += 1
@@ -240,7 +240,7 @@ def repeated_windows(documents: DataFrame, *, text: str = "text", window: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values[lo : lo + part.num_rows], type=arrow.field(len(arrow) - 1).type)], names=arrow.names)
                 lo += part.num_rows
 
-    return map_arrow(documents, run, schema)
+    return map_arrow(spread(blocks), run, schema)
 
 
 def remove_repeats(documents: DataFrame, *, text: str = "text", **options) -> DataFrame:
