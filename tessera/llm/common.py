@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -111,6 +112,26 @@ def raw(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text (null: 0), and all words one after the other. Words are runs without SPACE."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.append(0, np.cumsum(real))
+    ends = np.cumsum(np.append(0, pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+    return np.diff(before[ends]), words.filter(pa.array(real))
+
+
+def byte_values(words: pa.Array) -> list[bytes]:
+    """Binary or string values, none of them null."""
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    every = data.to_pybytes() if data is not None else b""
+    return [every[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 _TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import attention as A
-from tessera.llm.common import Files, fields, map_arrow, packed, spread, stage_table, table, workspace
+from tessera.llm.common import Files, byte_values, fields, map_arrow, packed, spread, stage_table, table, words_in, workspace
 from tessera.llm.tokenizing import byte_chars, encoder
 from tessera.llm.token_output import default_tokenizer
 from tessera.llm.toxicity import remainder
@@ -155,16 +155,6 @@ def speller(path: str) -> Speller:
     return _spellers[path]
 
 
-def _bytes(words: pa.Array) -> list[bytes]:
-    """Binary or string values, none of them null."""
-    if not len(words):
-        return []
-    _, offsets, data = words.buffers()
-    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
-    every = data.to_pybytes() if data is not None else b""
-    return [every[a:z] for a, z in zip(at, at[1:], strict=False)]
-
-
 class Block:
     """Whole documents as numbers of distinct words, in the order of the words' hashes. Number 0 is the end token."""
 
@@ -180,7 +170,7 @@ class Block:
 
     def _number(self, sizes: np.ndarray, words: pa.Array) -> None:
         coded = words.dictionary_encode()
-        distinct = _bytes(coded.dictionary)
+        distinct = byte_values(coded.dictionary)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), dtype=np.int32)
@@ -198,16 +188,6 @@ class Block:
         return spell(self.words, self.hashes)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Words of each text, and all words one after the other."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    words = split.flatten()
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    before = np.append(0, np.cumsum(real))
-    ends = np.cumsum(np.append(0, pc.list_value_length(split).to_numpy(zero_copy_only=False)))
-    return np.diff(before[ends]), words.filter(pa.array(real))
-
-
 def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[str, pa.Table, Block]]:
     """Blocks with their names and their rows' doc_id and learn, from rows (text, doc_id, learn, bucket) sorted by bucket.
 
@@ -221,7 +201,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[t
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500)
-            own, every = _words(rows.column(0))
+            own, every = words_in(pc.ascii_lower(rows.column(0)))
             buckets = rows.column(3).to_numpy(zero_copy_only=False)
             ends = np.cumsum(own)
             lo = 0

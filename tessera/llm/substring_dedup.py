@@ -35,27 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import Files, fields, map_arrow, packed, raw, spread, stage_table, table, workspace
+from tessera.llm.common import Files, byte_values, fields, map_arrow, packed, raw, spread, stage_table, table, words_in, workspace
 
 #: Production parameters.
 WINDOW = 35
 BLOCK_WORDS = 500_000
 RANGE_BYTES, LEAST_RANGES = 16_000_000, 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CACHE = 1_000_000
-
-
-class Words(dict):
-    """word -> 64-bit hash, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _CACHE:
-            self[word] = h
-        return h
-
-
-_WORDS = Words()
 
 
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
@@ -83,11 +69,12 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
 
 
 class Block:
-    """Whole documents with the hashes of their windows."""
+    """Whole documents with the hashes of their windows. sizes: words of each; words: of all, one after the other."""
 
-    def __init__(self, docs: list[list[bytes]], window: int):
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        flat = np.fromiter((h for d in docs for h in map(_WORDS.__getitem__, d)), dtype=np.uint64, count=int(sizes.sum()))
+    def __init__(self, sizes: np.ndarray, words: pa.Array, window: int):
+        coded = words.dictionary_encode()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, byte_values(coded.dictionary)), dtype=np.uint64, count=len(coded.dictionary))
+        flat = hashes[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
         self.name = xxhash.xxh3_128_hexdigest(flat.tobytes() + sizes.tobytes())
         self.begin = np.cumsum(sizes) - sizes
         n = np.maximum(sizes - window + 1, 0)
@@ -103,28 +90,28 @@ class Block:
         return np.append(np.searchsorted(self.distinct, edges), len(self.distinct))
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], column: int, block_words: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
-    """Rows up to the one that reaches block_words words; batches' borders make no difference."""
-    held, docs, n = [], [], 0
+def in_blocks(batches: Iterator[pa.RecordBatch], column: int, block_words: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, pa.Array]]:
+    """Rows up to the one that reaches block_words words, with their words; batches' borders make no difference."""
+    held, sizes, words, n = [], [], [], 0
     for batch in batches:
-        lo = 0
-        for k, text in enumerate(column_bytes(batch, column)):
-            words = text.split() if text else []
-            docs.append(words)
-            n += len(words)
-            if n >= block_words:
-                held.append(batch.slice(lo, k + 1 - lo))
-                yield held, docs
-                held, docs, n, lo = [], [], 0, k + 1
-        if lo < batch.num_rows:
-            held.append(batch.slice(lo))
-    if docs:
-        yield held, docs
-
-
-def column_bytes(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
-    for lo in range(0, batch.num_rows, 500):
-        yield from raw(batch.column(column).slice(lo, 500))
+        for at in range(0, batch.num_rows, 500):
+            rows = batch.slice(at, 500)
+            own, every = words_in(rows.column(column))
+            ends = np.cumsum(own)
+            lo = 0
+            while lo < rows.num_rows:
+                begin = int(ends[lo] - own[lo])
+                hi = min(int(np.searchsorted(ends, begin + block_words - n)) + 1, rows.num_rows)
+                held.append(rows.slice(lo, hi - lo))
+                sizes.append(own[lo:hi])
+                words.append(every.slice(begin, int(ends[hi - 1]) - begin))
+                n += int(ends[hi - 1]) - begin
+                if n >= block_words:
+                    yield held, np.concatenate(sizes), pa.concat_arrays(words)
+                    held, sizes, words, n = [], [], [], 0
+                lo = hi
+    if held:
+        yield held, np.concatenate(sizes), pa.concat_arrays(words)
 
 
 def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window: int, block_words: int) -> DataFrame:
@@ -135,8 +122,8 @@ def count_windows(documents: DataFrame, at: int, folder: str, bits: int, window:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, partition = Files(f"{folder}/rows"), TaskContext.get().partitionId()
-        for seq, (held, docs) in enumerate(in_blocks(batches, at, block_words)):
-            b = Block(docs, window)
+        for seq, (held, sizes, words) in enumerate(in_blocks(batches, at, block_words)):
+            b = Block(sizes, words, window)
             name = f"{partition:06d}-{seq:05d}-{b.name}"
             files.write(name, [packed(pa.Table.from_batches(held))])
             cut = b.cuts(bits)
@@ -217,9 +204,9 @@ def repeated_windows(documents: DataFrame, *, text: str = "text", window: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, answers = Files(f"{folder}/rows"), Files(f"{folder}/answers")
         for name in (x for batch in batches for x in batch.column(0).to_pylist()):
-            held = pa.ipc.open_stream(files.read(name)).read_all().to_batches()
-            docs = [x.split() if x else [] for batch in held for x in column_bytes(batch, at)]
-            b = Block(docs, window)
+            held = pa.ipc.open_stream(files.read(name)).read_all()
+            sizes, words = words_in(held.column(at).combine_chunks())
+            b = Block(sizes, words, window)
             hit = np.zeros(b.total, dtype=bool)
             if len(b.distinct):
                 seen = np.unpackbits(np.frombuffer(answers.read(name), np.uint8), count=len(b.distinct)).astype(bool)
@@ -228,17 +215,23 @@ def repeated_windows(documents: DataFrame, *, text: str = "text", window: int =
                 mark[starts] += 1
                 np.subtract.at(mark, starts + window, 1)
                 hit = np.cumsum(mark[:-1]) > 0
-            values = []
-            for words, s in zip(docs, b.begin, strict=True):
-                own = hit[s : s + len(words)]
-                n = int(own.sum())
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]))) if n else np.zeros(0, int)
-                kept = words if not n else [w for w, h in zip(words, own.tolist(), strict=True) if not h]
-                values.append({"n_words": len(words), "n_removed": n, "spans": [{"begin": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)], "kept": b" ".join(kept).decode()})
-            lo = 0
-            for part in held:
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values[lo : lo + part.num_rows], type=arrow.field(len(arrow) - 1).type)], names=arrow.names)
-                lo += part.num_rows
+            before = np.append(0, np.cumsum(hit))
+            begin = 0
+            for part in held.to_batches(max_chunksize=2000):
+                values = []
+                for text, size in zip(raw(part.column(at)), sizes[: part.num_rows].tolist(), strict=True):
+                    split = text.split() if text else []
+                    n = int(before[begin + size] - before[begin])
+                    spans = []
+                    if n:
+                        own = hit[begin : begin + size]
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]))).tolist()
+                        spans = [{"begin": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                        split = [w for w, h in zip(split, own.tolist(), strict=True) if not h]
+                    values.append({"n_words": size, "n_removed": n, "spans": spans, "kept": b" ".join(split).decode()})
+                    begin += size
+                sizes = sizes[part.num_rows :]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, type=arrow.field(len(arrow) - 1).type)], names=arrow.names)
 
     return map_arrow(spread(blocks), run, schema)
 
