@@ -21,7 +21,7 @@ import numpy as np
 WIDTH, CLASSES, SCORED, CONTEXT = 16, 40, 24, 8
 SPAN = CONTEXT + SCORED
 #: Windows scored at once, and to a step of training.
-BATCH, STEP = 160, 160
+BATCH, STEP = 256, 160
 #: Adam's step, decays and the number of steps after which its start counts no more.
 RATE, FIRST, SECOND, WARM = 0.01, 0.9, 0.99, 500
 _F = np.float32
@@ -67,7 +67,7 @@ _PLACES = np.arange(SPAN) - CONTEXT
 class Pass:
     """The forward half for some windows: inputs, attention and hidden states, targets sorted by class."""
 
-    def __init__(self, p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray, ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int):
+    def __init__(self, p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray, wild: tuple[bool, bool], ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int):
         d = WIDTH
         at = start[:, None] + _PLACES
         self.x = ids.take(at - 1, mode="clip")
@@ -79,7 +79,8 @@ class Pass:
         h += place
         self.q, self.k, self.v, r = h[:, CONTEXT:, :d], h[:, :, d : 2 * d], h[:, :, 2 * d : 3 * d], h[:, CONTEXT:, 3 * d :]
         s = np.matmul(self.q, self.k.transpose(0, 2, 1))
-        np.minimum(s, _F(60), out=s)  # exp stays finite without a look for the largest
+        if wild[0]:
+            np.minimum(s, _F(60), out=s)  # exp stays finite without a look for the largest
         np.exp(s, out=s)
         s *= _MASK
         s[edge] *= real[:, None, :]
@@ -100,15 +101,13 @@ class Pass:
         self.gs, self.c, self.inside = self.g[self.order], t // CLASSES, t % CLASSES
         self.cut = np.searchsorted(self.c, np.arange(CLASSES + 1)).tolist()
         self.rows = np.arange(len(t))
-        # hidden units are at most one: where the weights' sums are small, exp stays finite without a look at its values
-        wild = float(max(np.abs(p["C"]).sum(axis=1).max(), np.abs(p["U"]).sum(axis=2).max())) > 80
-        self.z = _softmax(self.gs @ p["C"].T, wild)
+        self.z, self.zs = _exp(self.gs @ p["C"].T, wild[1])
         y = np.empty((len(t), CLASSES), _F)
         for k in range(CLASSES):
             if self.cut[k] < self.cut[k + 1]:
                 np.matmul(self.gs[self.cut[k] : self.cut[k + 1]], p["U"][k].T, out=y[self.cut[k] : self.cut[k + 1]])
-        self.y = _softmax(y, wild)
-        chance = self.z[self.rows, self.c] * self.y[self.rows, self.inside]
+        self.y, self.ys = _exp(y, wild[1])
+        chance = self.z[self.rows, self.c] * self.y[self.rows, self.inside] * (self.zs * self.ys)
         self.ln = np.empty(len(t), _F)
         self.ln[self.order] = np.log(np.maximum(chance, _F(1e-37)))
         self.ln[self.none] = 0
@@ -126,12 +125,19 @@ class Pass:
 _ONES = np.ones(CLASSES, _F)
 
 
-def _softmax(z: np.ndarray, wild: bool) -> np.ndarray:
+def _exp(z: np.ndarray, wild: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows in place, and one over their sums."""
     if wild:
         np.minimum(z, _F(80), out=z)
     np.exp(z, out=z)
-    z *= (1 / (z @ _ONES + _F(1e-30)))[:, None]
-    return z
+    return z, 1 / (z @ _ONES + _F(1e-30))
+
+
+def _wild(p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray) -> tuple[bool, bool]:
+    """Whether exp of attention, and of the predictions, may overflow: products of two vectors are at most those of their lengths, hidden units at most one."""
+    d = WIDTH
+    q, k = (float(np.sqrt((table[:, a : a + d] ** 2).sum(axis=1).max()) + np.sqrt((place[:, a : a + d] ** 2).sum(axis=1).max())) for a in (0, d))
+    return q * k > 60, float(max(np.abs(p["C"]).sum(axis=1).max(), np.abs(p["U"]).sum(axis=2).max())) > 80
 
 
 def _tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +151,12 @@ def score(flat: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bos: int) -> np.
     """ln p of each id given its window, with fixed weights: each token once."""
     p = views(flat)
     table, place = _tables(p)
+    wild = _wild(p, table, place)
     start, first, end = windows(sizes)
     out = np.zeros(len(ids), dtype=_F)
     for lo in range(0, len(start), BATCH):
         part = slice(lo, lo + BATCH)
-        Pass(p, table, place, ids, start[part], first[part], end[part], bos).put(out)
+        Pass(p, table, place, wild, ids, start[part], first[part], end[part], bos).put(out)
     return out
 
 
@@ -172,7 +179,7 @@ class Trainer:
         for lo in range(0, len(order), STEP):
             pick = order[lo : lo + STEP]
             table, place = _tables(self.p)
-            f = Pass(self.p, table, place, ids, start[pick], first[pick], end[pick], bos)
+            f = Pass(self.p, table, place, _wild(self.p, table, place), ids, start[pick], first[pick], end[pick], bos)
             f.put(out)
             self._backward(f)
             self._adam()
@@ -186,6 +193,8 @@ class Trainer:
         gone = np.flatnonzero(gone[f.order])
         # through both softmaxes
         z, y = f.z, f.y
+        z *= f.zs[:, None]
+        y *= f.ys[:, None]
         z[f.rows, f.c] -= 1
         y[f.rows, f.inside] -= 1
         z[gone], y[gone] = 0, 0
@@ -215,13 +224,13 @@ class Trainer:
         np.matmul(ds, f.k, out=own[:, :, :d])
         np.matmul(ds.transpose(0, 2, 1), f.q, out=seen[:, :, :d])
         # to the maps, and by id to the embeddings
-        own[:, :, :d] *= _F(WIDTH**-0.5)
         mine, theirs = np.r_[0:d, 3 * d : 4 * d], slice(d, 3 * d)
-        w_own, w_seen = np.ascontiguousarray(p["W"][:, mine].T), np.ascontiguousarray(p["W"][:, theirs].T)
+        scale = np.repeat(_F([WIDTH**-0.5, 1]), d)  # of the query
+        w_own, w_seen = np.ascontiguousarray((p["W"][:, mine] * scale).T), np.ascontiguousarray(p["W"][:, theirs].T)
         e = p["E"].take(f.x, axis=0, mode="clip")
         e += p["P"]
         g["W"][:, theirs] = e.reshape(-1, d).T @ seen.reshape(-1, 2 * d)
-        g["W"][:, mine] = e[:, CONTEXT:].reshape(-1, d).T @ own.reshape(-1, 2 * d)
+        g["W"][:, mine] = (e[:, CONTEXT:].reshape(-1, d).T @ own.reshape(-1, 2 * d)) * scale
         de = (seen.reshape(-1, 2 * d) @ w_seen).reshape(-1, SPAN, d)
         de[:, CONTEXT:] += (own.reshape(-1, 2 * d) @ w_own).reshape(-1, SCORED, d)
         g["P"][:] = de.sum(axis=0)
