@@ -11,10 +11,11 @@ from tessera.functions import text as X
 LEAD_WORDS = "the|shri|sri|dr|dba|inc|mr|ms|m/s|m\\s*s|center|national|all|new|om"
 # Address words that don't tell addresses apart.
 COMMON_ADDRESS_WORDS = (
-    "road street near nagar opp opposite behind floor building plot sector cross main avenue lane circle layout complex house shop "
-    "village dist district state bazaar market west east north south city block bldg flr apt suite room dept care attn post office "
-    "area colony marg puram chowk highway number side front phase stage line ward"
-).split()
+    "road", "street", "near", "nagar", "opp", "opposite", "behind", "floor", "building", "plot", "sector", "cross", "main", "avenue",
+    "lane", "circle", "layout", "complex", "house", "shop", "village", "dist", "district", "state", "bazaar", "market", "west", "east",
+    "north", "south", "city", "block", "bldg", "flr", "apt", "suite", "room", "dept", "care", "attn", "post", "office", "area", "colony",
+    "marg", "puram", "chowk", "highway", "number", "side", "front", "phase", "stage", "line", "ward",
+)
 EMPTY, NONE = "__empty__", "__none__"
 
 

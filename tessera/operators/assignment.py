@@ -5,28 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import fresh
+from tessera.sources.records import with_ordinal
+
 DEFAULT_THRESHOLD, RESCUE_SCORE, RESCUE_SIMILARITY, NEGATIVES = 0.80, 0.25, 0.85, 3
 
 
 def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with label 1 where truth (s1_id, cand_id) has the pair, else 0."""
-    links = truth.where("cand_id is not null").select("s1_id", "cand_id").distinct().withColumn("_t", F.lit(1))
-    return pairs.join(links, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("_t", F.lit(0))).drop("_t")
+    t = fresh(pairs, "linked")
+    links = truth.where("cand_id is not null").select("s1_id", "cand_id").distinct().withColumn(t, F.lit(1))
+    return pairs.join(links, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce(t, F.lit(0))).drop(t)
 
 
 def hard_negatives(labelled: DataFrame, ratio: int = NEGATIVES, order: str = "rank") -> DataFrame:
     """All positives, and of each S1 the first max(1, ratio * positives) negatives by ``order`` and cand_id."""
-    per = Window.partitionBy("s1_id")
-    rows = labelled.withColumn("_p", F.sum("label").over(per))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("s1_id", "label").orderBy(order, "cand_id")))
-    return rows.where((F.col("label") == 1) | (F.col("_n") <= F.greatest(F.lit(1), ratio * F.col("_p")))).drop("_p", "_n")
+    p, n = fresh(labelled, "positives"), fresh(labelled, "place")
+    rows = labelled.withColumn(p, F.sum("label").over(Window.partitionBy("s1_id")))
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy("s1_id", "label").orderBy(order, "cand_id")))
+    return rows.where((F.col("label") == 1) | (F.col(n) <= F.greatest(F.lit(1), ratio * F.col(p)))).drop(p, n)
+
+
+def _first(df: DataFrame, window) -> DataFrame:
+    """The first row of each window."""
+    n = fresh(df, "place")
+    return df.withColumn(n, F.row_number().over(window)).where(F.col(n) == 1).drop(n)
 
 
 def stratified_split(records: DataFrame, share: float = 0.8) -> DataFrame:
-    """entity_id, country, split: the first ceil(share * n) of each country by hash of the id train, the rest validate."""
-    w = Window.partitionBy("country").orderBy(F.md5(F.col("entity_id").cast("binary")), "entity_id")
-    n = F.count("*").over(Window.partitionBy("country"))
-    return records.select("entity_id", "country", F.when(F.row_number().over(w) <= F.ceil(n * share), "train").otherwise("validation").alias("split"))
+    """entity_id, country, split: the first ceil(share * n) of each country by hash of the id train, the rest validate.
+
+    Rows are numbered over all countries in ranges, so no country is one task; null is a country of its own.
+    """
+    keyed = records.select("entity_id", "country", F.struct("country", F.md5(F.col("entity_id").cast("binary")), "entity_id").alias("key"))
+    rows = with_ordinal(keyed, "key")
+    sizes = rows.groupBy(F.col("country").alias("c")).agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
+    placed = rows.join(sizes, F.col("country").eqNullSafe(F.col("c")))
+    return placed.select("entity_id", "country", F.when(F.col("ordinal") - F.col("first") < F.ceil(F.col("n") * share), "train").otherwise("validation").alias("split"))
 
 
 def class_weights(labelled: DataFrame) -> DataFrame:
@@ -48,14 +63,12 @@ def claim(scored: DataFrame) -> DataFrame:
 
     Only candidates are exclusive, so the greedy order by prob gives the same as the best row of each candidate.
     """
-    best = Window.partitionBy("cand_id").orderBy(F.desc("prob"), "s1_id")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return _first(scored, Window.partitionBy("cand_id").orderBy(F.desc("prob"), "s1_id"))
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
     """The first candidate of the highest prob of each S1."""
-    w = Window.partitionBy("s1_id").orderBy(F.desc("prob"), "cand_id")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _first(scored, Window.partitionBy("s1_id").orderBy(F.desc("prob"), "cand_id"))
 
 
 def rescue(scored: DataFrame, claimed: DataFrame, *, least: float = RESCUE_SCORE, similar: float = RESCUE_SIMILARITY) -> DataFrame:
@@ -65,5 +78,9 @@ def rescue(scored: DataFrame, claimed: DataFrame, *, least: float = RESCUE_SCORE
     """
     asking = best_candidate(scored.join(claimed.select("s1_id").distinct(), "s1_id", "left_anti"))
     free = asking.where((F.col("prob") >= least) & (F.col("similarity") >= similar)).join(claimed.select("cand_id"), "cand_id", "left_anti")
-    w = Window.partitionBy("cand_id").orderBy("s1_id")
-    return free.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _first(free, Window.partitionBy("cand_id").orderBy("s1_id"))
+
+
+def by_prob():
+    """A window over each S1 in falling order of prob."""
+    return Window.partitionBy("s1_id").orderBy(F.desc("prob"), "cand_id")

@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 from tessera.functions import blocking_keys as K
 from tessera.functions import text as X
 from tessera.functions.similarity import word_grams
-from tessera.session import ship
+from tessera.session import ship, stage_table
+from tessera.sources.sinks import merge_ranked
 
 MAX_KEY_FREQUENCY, TOP_K = 500, 20
 #: Postings that each prefix rule reads of a key, in order of entity_id.
 PREFIX_LIMITS = {"k1": 20, "k2": 10, "k3": 10}
-#: Candidates of each rule by n-gram cosine; under FEW in all, the reference's fallback adds more, which is not built here.
+#: Candidates of each rule by n-gram cosine; rows with under FEW in all get FALLBACK_TOP_K more by dense vectors.
 RULE_TOP_K, FEW, FALLBACK_TOP_K = {"k1": 60, "k2": 30, "k3": 30, "k4": 20}, 5, 30
 PREFIX_KEY = ["rule", "country_key", "bkey"]
 #: Rows of a block that are compared at once.
@@ -39,8 +40,17 @@ def compact_candidates(s1: DataFrame, pool: DataFrame, *, cap: int = MAX_KEY_FRE
 
     Only ids are joined and ranked; attributes are fetched for the winners afterwards.
     """
+    return rank_by_rules(s1, postings_of(pool, cap=cap, strict=strict), top_k=top_k, strict=strict)
+
+
+def postings_of(pool: DataFrame, *, cap: int = MAX_KEY_FREQUENCY, strict: bool = True) -> DataFrame:
+    """entity_id, rule_id, bkey of the pool, without frequent keys."""
+    return prune_frequent(K.compact_keys(K.with_compact_columns(pool), strict=strict), cap)
+
+
+def rank_by_rules(s1: DataFrame, postings: DataFrame, *, top_k: int = TOP_K, strict: bool = True) -> DataFrame:
+    """As compact_candidates, against postings that are there already."""
     keys = K.compact_keys(K.with_compact_columns(s1), strict=strict).select(F.col("entity_id").alias("s1_id"), "bkey").distinct()
-    postings = prune_frequent(K.compact_keys(K.with_compact_columns(pool), strict=strict), cap)
     hits = keys.join(postings, "bkey").groupBy("s1_id", F.col("entity_id").alias("cand_id")).agg(
         F.countDistinct("rule_id").alias("matched_rules"), F.max(F.col("rule_id").isin(1, 2).cast("int")).alias("has_exact_rule")
     )
@@ -154,3 +164,24 @@ def cosine_candidates(s1: DataFrame, pool: DataFrame, top_k: dict[str, int] | No
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("s1_id", "rule").orderBy(F.desc("score"), "cand_id"))).where(F.col("place") <= most_of)
     best = ranked.groupBy("s1_id", "cand_id").agg(F.min(F.struct("rule", "place")).alias("b"))
     return best.select("s1_id", "cand_id", F.row_number().over(Window.partitionBy("s1_id").orderBy("b.rule", "b.place", "cand_id")).alias("rank"))
+
+
+def dense_candidates(s1: DataFrame, pool: DataFrame, k: int = FALLBACK_TOP_K, *, embedder=None) -> DataFrame:
+    """s1_id, cand_id, score, rank: the k nearest by inner product of embedded names and addresses, inside the first prefix rule's block."""
+    from tessera.operators import vectors as N
+
+    def side(df: DataFrame) -> DataFrame:
+        n = K.with_normal_columns(df).withColumns({"match": X.match_text(F.col("name_norm"), F.col("addr_norm")), "key": K.name_prefix(F.col("name_norm"))})
+        coded = N.encode(n, "match", **({"embedder": embedder} if embedder else {}))
+        return coded.select(F.col("entity_id").alias("id"), F.concat_ws("|", "country_key", "key").alias("part"), F.col("embedding").alias("vec"))
+
+    return N.top_k(side(s1), side(pool), k).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "score", "rank")
+
+
+def four_key_candidates(s1: DataFrame, pool: DataFrame, *, least: int = FEW, fallback: int = FALLBACK_TOP_K) -> DataFrame:
+    """s1_id, cand_id, rank: cosine_candidates, and for rows with fewer than ``least`` of them dense_candidates after these."""
+    lexical = stage_table(cosine_candidates(s1, pool), "lexical")
+    few = few_candidates(s1, lexical, least).select(F.col("s1_id").alias("entity_id"))
+    more = dense_candidates(s1.join(few, "entity_id", "left_semi"), pool, fallback)
+    every = lexical.select("s1_id", "cand_id", F.lit(0).alias("stage"), "rank").unionByName(more.select("s1_id", "cand_id", F.lit(1).alias("stage"), "rank"))
+    return merge_ranked(every)

@@ -17,6 +17,7 @@ from tessera.operators import features as P
 from tessera.operators import model as M
 from tessera.operators import validation as V
 from tessera.operators import vectors as N
+from tessera.plans import runs as U
 from tessera.plans import sql as Q
 from tessera.session import ship, stage_table, workspace
 from tessera.sources import records as R
@@ -532,22 +533,13 @@ def whole_search(spark, d) -> tuple[DataFrame, DataFrame]:
     return v.where("id % 50 = 0"), v
 
 
-def vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    v = all_vectors(spark, d)
-    return v.where("id % 5 = 0"), v.where("id % 5 <> 0")
-
-
-_DOT = "select q.vec_id as q_id, t.vec_id as t_id, round(list_inner_product(q.embedding::double[], t.embedding::double[]), 9) as s, row_number() over (partition by q.vec_id order by s desc, t.vec_id)::int as rank from embeddings q join embeddings t on q.label = t.label and t.vec_id % 5 <> 0 where q.vec_id % 5 = 0"
-
+_DOT_PART = "select q.vec_id as q_id, t.vec_id as t_id, round(list_inner_product(q.embedding::double[], t.embedding::double[]), 9) as s, row_number() over (partition by q.vec_id order by s desc, t.vec_id)::int as rank from embeddings q join embeddings t on q.label = t.label where q.vec_id % 50 = 0"
 
-@register(f"select q_id, t_id, round(s, 6) as score, rank from ({_DOT}) where rank <= 20")
-def embedding_topk(spark, d):
-    return N.top_k(*vectors(spark, d)).select("q_id", "t_id", six(F.col("score"), "score"), "rank")
 
-
-@register(f"select q_id, t_id, round(s, 6) as score from ({_DOT}) where rank <= 20 and s >= 0.3")
-def embedding_matches(spark, d):
-    return N.matches(N.top_k(*vectors(spark, d)), 0.3).select("q_id", "t_id", six(F.col("score"), "score"))
+@register(f"select q_id, t_id, round(s, 6) as score, rank from ({_DOT_PART}) where rank <= 20")
+def embedding_topk_by_label(spark, d):
+    v = all_vectors(spark, d)
+    return N.top_k(v.where("id % 50 = 0"), v).select("q_id", "t_id", six(F.col("score"), "score"), "rank")
 
 
 _DOT_ALL = "select q.vec_id as q_id, t.vec_id as t_id, round(list_inner_product(q.embedding::double[], t.embedding::double[]), 9) as s, row_number() over (partition by q.vec_id order by s desc, t.vec_id)::int as rank from embeddings q cross join embeddings t where q.vec_id % 50 = 0"
@@ -568,6 +560,17 @@ def ann_ivf_topk(spark, d):
     return N.approximate_top_k(*whole_search(spark, d))
 
 
+@register()
+def block_topk_cosine(spark, d):
+    """The 30 nearest by dense vectors in the first prefix rule's block, for every S1."""
+    return B.dense_candidates(*sides(spark, d))
+
+
+@register()
+def four_key_with_fallback(spark, d):
+    return B.four_key_candidates(*sides(spark, d))
+
+
 @register()
 def encode_texts(spark, d):
     return N.encode(er(spark, d), "business_name").select("entity_id", "embedding")
@@ -592,6 +595,66 @@ def feature_importances(spark, d):
     return M.importances(M.fit(_training(spark, d), P.FEATURES_C, trees=20))
 
 
+# Other scripts.
+
+
+#: One letter of each script for Latin letters, so that spelling a name in the script and back gives the name. The twins don't read them.
+_SCRIPTS = {
+    "cyrillic": ("abdefgiklmnoprstuvyz", "абдефгиклмнопрстувыз"),
+    "greek": ("abdegiklmnoprstuxz", "αβδεγικλμνοπρστυξζ"),
+    "devanagari": ("kgjtdnpbmyrlvsh", "कगजतदनपबमयरलवसह"),
+}
+
+
+@register("select s.script, n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') as value from nation, (values ('cyrillic'), ('greek'), ('devanagari')) s(script)")
+def latinize_scripts(spark, d):
+    """Compact keys of names that are spelled in other scripts."""
+    n = R.table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    each = [n.select(F.lit(k).alias("script"), "n_nationkey", X.compact(X.latinize(F.translate("name", a, b))).alias("value")) for k, (a, b) in _SCRIPTS.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+# Whole runs.
+
+
+def run_of(spark, d, run: Callable, **options) -> DataFrame:
+    """The three sources as files, through a run; what it has written."""
+    place, every = workspace(spark, "run"), stage_table(er(spark, d), "run-records")
+    paths = []
+    for n in (1, 2, 3):
+        paths.append(f"{place}/s{n}")
+        R.write_records(every.where(F.col("entity_id").startswith(f"S{n}-")), paths[-1])
+    return run(spark, *paths, f"{place}/out", **options).results()
+
+
+@register(f"""select l.source1_entity_id, l.candidate_entity_ids, coalesce(m.ids, '') as matched_entity_ids from lists l left join (
+ select s1_id, string_agg(cand_id, ',' order by rank, cand_id) as ids from cands join cmp a on a.entity_id = s1_id join cmp b on b.entity_id = cand_id
+ where round(has_exact_rule * 0.5 + ({Q.dice('a.latin_compact', 'b.latin_compact')}) * 0.3 + ({Q.dice('a.addr_compact', 'b.addr_compact')}) * 0.2, 9) >= 0.5 group by 1) m on m.s1_id = l.source1_entity_id""", "lists", "cmp")
+def run_c(spark, d):
+    return run_of(spark, d, U.run_rules)
+
+
+@register(f"""select * from (with hc as (select s1_id, cand_id, row_number() over (partition by s1_id order by best.r, best.place, cand_id)::int as rank from (
+ select s.entity_id as s1_id, p.entity_id as cand_id, min({{'r': s."rule", 'place': p.place}}) as best from hkeys s join (
+ select *, row_number() over (partition by "rule", country_key, bkey order by entity_id) as place from hkeys where entity_id not like 'S1-%') p
+ on s."rule" = p."rule" and s.country_key = p.country_key and s.bkey = p.bkey and p.place <= case p."rule" when 'k1' then 20 when 'k4' then 0 else 10 end where s.entity_id like 'S1-%' group by 1, 2)),
+ hs as (select s1_id, cand_id, round(0.5 * (1 - levenshtein(a.name_norm, b.name_norm) / greatest(length(a.name_norm), length(b.name_norm), 1)) + 0.3 * ({Q.jaccard('a.name_norm', 'b.name_norm', '1.0')})
+ + 0.2 * ({Q.jaccard('a.addr_norm', 'b.addr_norm', '1.0')}), 9) as prob, round(jaro_winkler_similarity(a.name_norm, b.name_norm), 6) as jw from hc join nrm a on a.entity_id = s1_id join nrm b on b.entity_id = cand_id),
+ cl as (select * from (select *, row_number() over (partition by cand_id order by prob desc, s1_id) as n from hs where prob >= 0.6) where n = 1),
+ rs as (select * from (select *, row_number() over (partition by cand_id order by s1_id) as m from (select * from (select *, row_number() over (partition by s1_id order by prob desc, cand_id) as n from hs where s1_id not in (select s1_id from cl))
+ where n = 1 and prob >= 0.25 and jw >= 0.85 and cand_id not in (select cand_id from cl))) where m = 1),
+ mt as (select s1_id, string_agg(cand_id, ',' order by prob desc, cand_id) as ids from (select s1_id, cand_id, prob from cl union all select s1_id, cand_id, prob from rs) group by 1),
+ ca as (select s1_id, string_agg(cand_id, ',' order by rank, cand_id) as ids from hc group by 1)
+ select entity_id as source1_entity_id, coalesce(ca.ids, '') as candidate_entity_ids, coalesce(mt.ids, '') as matched_entity_ids from s1 left join ca on ca.s1_id = entity_id left join mt on mt.s1_id = entity_id)""", "hkeys", "s1")
+def run_h(spark, d):
+    return run_of(spark, d, U.run_prefixes)
+
+
+@register()
+def run_e(spark, d):
+    return run_of(spark, d, U.run_vectors)
+
+
 # Streaming.
 
 

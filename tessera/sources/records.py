@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.columns import fresh
 from tessera.session import stage_table
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("entity_id", "business_name", "business_address", "country")])
@@ -22,7 +23,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: missing columns {missing}; found {header}")
     order = T.StructType([T.StructField(h.strip() or f"_c{i}", T.StringType()) for i, h in enumerate(header)])
     rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").schema(order).csv(path)
-    return rows.select(*(F.trim(F.coalesce(n, F.lit(""))).alias(n) for n in RECORD.names))
+    strip = lambda n: F.regexp_replace(F.coalesce(n, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return rows.select(*(strip(n).alias(n) for n in RECORD.names))
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -59,21 +61,24 @@ def with_ordinal(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
     numbers of the ranges after it.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, local, ahead = (fresh(df, x) for x in ("part", "place", "ahead"))
     at = F.monotonically_increasing_id()
-    rows = df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_part", F.shiftright(at, 33)).withColumn("_local", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn(part, F.shiftright(at, 33)).withColumn(local, at.bitwiseAND(F.lit((1 << 33) - 1)))
     rows = stage_table(rows, "ordinal")
-    sizes = rows.groupBy("_part").count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_local") + 1).drop("_part", "_local", "_before")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
+    return rows.join(before, part).withColumn(name, F.col(ahead) + F.col(local) + 1).drop(part, local, ahead)
 
 
 def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+    place = fresh(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col(place) <= n).drop(place)
 
 
 def deduplicate(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    place = fresh(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 # Views over the driver's tables, for queries and tests.
