@@ -64,8 +64,11 @@ def with_compact_columns(records: DataFrame) -> DataFrame:
     })
 
 
-def compact_keys(compact: DataFrame, *, strict: bool = True) -> DataFrame:
-    """entity_id, rule_id, bkey. A key has no rule in it, so equal keys of different rules meet. strict: without rule 6, the second name word."""
+def compact_keys(compact: DataFrame, *, strict: bool = True, tagged: bool = False) -> DataFrame:
+    """entity_id, rule_id, bkey. strict: without rule 6, the second name word.
+
+    A key has no rule in it, so equal keys of different rules meet; tagged: it begins with its rule, and they don't.
+    """
     c = F.col
     at_least = lambda name, n: F.char_length(name) >= n
     first = F.concat(F.lit("["), F.array_join(F.array_sort(F.array(*(F.substr(c("latin_compact"), F.lit(i), F.lit(1)) for i in (1, 2, 3)))), ", "), F.lit("]"))
@@ -79,7 +82,7 @@ def compact_keys(compact: DataFrame, *, strict: bool = True) -> DataFrame:
         (7, at_least("addr_compact", 10), F.substr(c("addr_compact"), F.lit(1), F.lit(10))),
         (8, at_least("latin_compact", 3), first),
     ]
-    each = F.filter(F.array(*(F.when(ok & (c("country_norm") != ""), F.struct(F.lit(r).alias("rule_id"), F.concat_ws("|", k, "country_norm").alias("bkey"))) for r, ok, k in rules)), lambda x: x.isNotNull())
+    each = F.filter(F.array(*(F.when(ok & (c("country_norm") != ""), F.struct(F.lit(r).alias("rule_id"), F.concat_ws("|", *([F.lit(f"r{r}")] if tagged else []), k, "country_norm").alias("bkey"))) for r, ok, k in rules)), lambda x: x.isNotNull())
     return compact.select("entity_id", F.explode(each).alias("k")).select("entity_id", "k.rule_id", "k.bkey")
 
 

@@ -52,3 +52,25 @@ def load(path: str) -> tuple[PipelineModel, dict]:
     from pyspark.sql import SparkSession
 
     return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
+
+
+def train_matcher(labelled: DataFrame, records: DataFrame, truth: DataFrame, features: list[str], *, taus: tuple[float, ...] | None = None, exclusive: bool = False, **options) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """The model, thresholds (country, threshold) and the validation pairs with prob.
+
+    Reference records are split by country; pairs of training records fit the
+    trees, those of validation records stop them early and choose each
+    country's threshold by mean F0.5. labelled: s1_id, cand_id, label and the
+    features. records: entity_id, country. truth: s1_id, cand_id. Without
+    pairs of one of the labels there is no model, and fit raises.
+    """
+    from tessera.operators import evaluation as E
+    from tessera.operators.assignment import stratified_split
+
+    split = stage_table(stratified_split(records), "split").select(F.col("entity_id").alias("s1_id"), "country", (F.col("split") == "validation").alias("held_out"))
+    rows = stage_table(labelled.join(split.select("s1_id", "held_out"), "s1_id"), "matcher-rows")
+    model = fit(rows, features, validation="held_out", **options)
+    scored = stage_table(predict(model, rows.where("held_out").select("s1_id", "cand_id", "label", *features)).select("s1_id", "cand_id", "label", "prob"), "matcher-scores")
+    held = split.where("held_out").select("s1_id", "country")
+    own = truth.join(held.select("s1_id"), "s1_id", "left_semi")
+    sweep = E.threshold_sweep(own, scored, held, taus or E.TAUS_C, exclusive=exclusive)
+    return model, sweep.where("best").select("country", F.col("tau").alias("threshold")), scored

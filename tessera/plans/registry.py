@@ -462,6 +462,16 @@ def threshold_sweep(spark, d):
     return s.select("country", "tau", six(F.col("f05"), "f05"), "best")
 
 
+def threshold_sweep_fine(spark, d):
+    """All 34 thresholds of the single-threshold search."""
+    s = E.threshold_sweep(R.er_truth(spark, d), scored(spark, d), countries_of(spark, d), E.TAUS_C)
+    return s.select("country", "tau", six(F.col("f05"), "f05"), "best")
+
+
+register()(threshold_sweep_fine)
+ORACLES["threshold_sweep_fine"] = ORACLES["threshold_sweep"].replace(_TAUS, ", ".join(f"({t})" for t in E.TAUS_C))
+
+
 # Validation.
 
 
@@ -595,6 +605,14 @@ def feature_importances(spark, d):
     return M.importances(M.fit(_training(spark, d), P.FEATURES_C, trees=20))
 
 
+@register()
+def matcher_held_out(spark, d):
+    """Validation pairs with the probabilities of a matcher that stopped early, and each country's threshold."""
+    every = R.reference_side(er(spark, d)).select("entity_id", "country")
+    _, thresholds, scored_ = M.train_matcher(_training(spark, d), every, R.er_truth(spark, d), P.FEATURES_C, trees=250)
+    return scored_.join(every.withColumnRenamed("entity_id", "s1_id"), "s1_id").join(thresholds, "country", "left")
+
+
 # Other scripts.
 
 
