@@ -137,7 +137,7 @@ def _wild(p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray) -> tup
     """Whether exp of attention, and of the predictions, may overflow: products of two vectors are at most those of their lengths, hidden units at most one."""
     d = WIDTH
     q, k = (float(np.sqrt((table[:, a : a + d] ** 2).sum(axis=1).max()) + np.sqrt((place[:, a : a + d] ** 2).sum(axis=1).max())) for a in (0, d))
-    return q * k > 60, float(max(np.abs(p["C"]).sum(axis=1).max(), np.abs(p["U"]).sum(axis=2).max())) > 80
+    return q * k > 60, WIDTH * float(max(np.abs(p["C"]).max(), np.abs(p["U"]).max())) > 80
 
 
 def _tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

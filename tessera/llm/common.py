@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,12 +80,33 @@ class Files:
         return self.read(name) if there else pa.py_buffer(b"")
 
 
+#: Rows of an Arrow batch at most: a batch of whole texts lies in the memory of the executor and of its worker more than once.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with this package shipped to the workers; columns with dots in their names pass under other names."""
     ship(df.sparkSession)
+    if not 0 < int(df.sparkSession.conf.get(_ROWS)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_ROWS, str(BATCH_ROWS))
     if any("." in c or "`" in c for c in df.columns):
         df = df.toDF(*(f"{i}_th_column" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the machine: workers live on, and each keeps what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def append(df: DataFrame, column: str, added: T.StructType, f: Callable[[list], list[list]]) -> DataFrame:
