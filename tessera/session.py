@@ -101,5 +101,5 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = workspace(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # texts take half the room of the default
     return spark.read.schema(df.schema).parquet(path)
