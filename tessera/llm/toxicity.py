@@ -139,16 +139,16 @@ def find_terms(sample: DataFrame, base: float) -> list[str]:
     return out[:VOTERS]
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of class 1 for each row. votes: rows x voters of 0 and 1; given: labels, as noisy as any vote."""
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Posterior of class 1 for each row, when it changes no more. votes: rows x voters of 0 and 1; given: labels, as noisy as any vote."""
     every = np.column_stack([votes, given]).astype(np.float32)
     y = np.clip(given.astype(np.float64), 0.05, 0.95)
+    together = every.T @ every
     for _ in range(rounds):
         prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         rate1 = (y @ every + 0.5 * prior) / (y.sum() + prior)
         rate0 = ((1 - y) @ every + 0.5 * (1 - prior)) / ((1 - y).sum() + 1 - prior)
         # the excess of common votes within the classes, as a correlation
-        together = every.T @ every
         expected = np.outer(rate1, rate1) * y.sum() + np.outer(rate0, rate0) * (1 - y).sum()
         variance = rate1 * (1 - rate1) * y.sum() + rate0 * (1 - rate0) * (1 - y).sum()
         corr = (together - expected) / np.sqrt(np.outer(variance, variance) + 1e-9)
