@@ -136,7 +136,8 @@ def _exp(z: np.ndarray, wild: bool) -> tuple[np.ndarray, np.ndarray]:
 def _wild(p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray) -> tuple[bool, bool]:
     """Whether exp of attention, and of the predictions, may overflow: products of two vectors are at most those of their lengths, hidden units at most one."""
     d = WIDTH
-    q, k = (float(np.sqrt((table[:, a : a + d] ** 2).sum(axis=1).max()) + np.sqrt((place[:, a : a + d] ** 2).sum(axis=1).max())) for a in (0, d))
+    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+    q, k = (longest(table[:, a : a + d]) + longest(place[:, a : a + d]) for a in (0, d))
     return q * k > 60, WIDTH * float(max(np.abs(p["C"]).max(), np.abs(p["U"]).max())) > 80
 
 
@@ -167,12 +168,12 @@ class Trainer:
         self.flat = flat.astype(_F)
         self.p = views(self.flat)
         self.m, self.v = np.zeros(SIZE, _F), np.zeros(SIZE, _F)
-        self.grad = np.zeros(SIZE, _F)
+        self.grad, self.room = np.zeros(SIZE, _F), np.zeros(SIZE, _F)
         self.d = views(self.grad)
         self.steps = 0
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, bos: int, rng: np.random.Generator) -> np.ndarray:
-        """One step for each STEP windows, dealt by rng; ln p of each token when its step began."""
+        """One step for each STEP windows, dealt by rng. Returns ln p of each token when its step began."""
         start, first, end = windows(sizes)
         out = np.zeros(len(ids), dtype=_F)
         order = rng.permutation(len(start))
@@ -244,8 +245,16 @@ class Trainer:
     def _adam(self) -> None:
         self.steps += 1
         n = min(self.steps, WARM)
+        g, x = self.grad, self.room
         self.m *= _F(FIRST)
-        self.m += _F(1 - FIRST) * self.grad
+        np.multiply(g, _F(1 - FIRST), out=x)
+        self.m += x
         self.v *= _F(SECOND)
-        self.v += _F(1 - SECOND) * self.grad * self.grad
-        self.flat -= _F(RATE / (1 - FIRST**n)) * self.m / (np.sqrt(self.v * _F(1 / (1 - SECOND**n))) + _F(1e-8))
+        np.multiply(g, g, out=x)
+        x *= _F(1 - SECOND)
+        self.v += x
+        np.sqrt(self.v, out=x)
+        x += _F(1e-8)
+        np.divide(self.m, x, out=x)
+        x *= _F(RATE / (1 - FIRST**n) * (1 - SECOND**n) ** 0.5)
+        self.flat -= x

@@ -404,9 +404,12 @@ def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: in
                 laid, t, rng = Laid(b, coder_), A.Trainer(start), np.random.default_rng(7)
                 tokens, likely = 0, np.zeros(len(PARTS))
                 for _, words, ids, word, sizes in laid.parts(b.learn):
-                    own = np.exp(np.bincount(word, t.train(ids, sizes, 0, rng), len(words)) + laid.rare[words])
-                    likely += np.log(np.maximum(model_parts * own + (1 - model_parts) * share[words], 1e-300)).sum(axis=1)
+                    ln = t.train(ids, sizes, 0, rng)
                     tokens += len(ids)
+                    if not last:
+                        continue
+                    own = np.exp(np.bincount(word, ln, len(words)) + laid.rare[words])
+                    likely += np.log(np.maximum(model_parts * own + (1 - model_parts) * share[words], 1e-300)).sum(axis=1)
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(tokens)]), pa.array([t.flat.tobytes()], pa.binary()), pa.array([likely.tobytes()], pa.binary())], names=schema.names)
 
@@ -420,10 +423,13 @@ def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: in
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([tokens]), pa.array([total.tobytes()], pa.binary()), pa.array([likely.tobytes()], pa.binary())], names=schema.names)
 
-    begin = 0
-    for share in SCHEDULE:
-        mine = blocks.where(F.pmod(F.xxhash64(F.lit("lm"), "block"), F.lit(sum(SCHEDULE))).between(begin, begin + share - 1))
-        begin += share
+    # a few rounds; a small corpus has no blocks for some
+    ends_of = np.cumsum(SCHEDULE)
+    place = F.pmod(F.xxhash64(F.lit("lm"), "block"), F.lit(int(ends_of[-1])))
+    dealt_out = blocks.withColumn("round", sum((place >= int(e)).cast("int") for e in ends_of))
+    rounds = sorted(r.round for r in dealt_out.select("round").distinct().collect())
+    for number in rounds:
+        mine, last = dealt_out.where(F.col("round") == number).select("block"), number == rounds[-1]
         shared = spark.sparkContext.broadcast((coder, flat))
         trained = stage_table(map_arrow(spread(mine), train, schema), "lm-weights")
         groups = isqrt(trained.count())
