@@ -40,13 +40,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
-
-
-def packed(table: pa.Table) -> pa.Buffer:
+def packed(table: pa.Table, codec: str = "zstd") -> pa.Buffer:
     """As a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_PACKED) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_table(table)
     return sink.getvalue()
 

@@ -96,7 +96,9 @@ def _ranked(path: str):
 def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Places begin[k], begin[k] + 1 ... of n[k] each, one after the other."""
     ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - n), n)
+    out = np.repeat((begin - (ends - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Speller:
@@ -238,7 +240,7 @@ class Kept:
 
     @staticmethod
     def parts(rows: pa.Table, b: Block, lengths: np.ndarray, ids: np.ndarray) -> list[pa.Buffer]:
-        return [packed(t) for t in (rows.append_column("size", pa.array(b.sizes)), *(pa.table([pa.array(x)], names=["x"]) for x in (b.flat, lengths, ids)))]
+        return [packed(t, "lz4") for t in (rows.append_column("size", pa.array(b.sizes)), *(pa.table([pa.array(x)], names=["x"]) for x in (b.flat, lengths, ids)))]
 
 
 def count_words(rows: DataFrame, folder: str, bits: int, tokenizer: str, block_words: int) -> tuple[DataFrame, int, int, int, dict[int, int]]:
@@ -364,14 +366,14 @@ class Laid:
     """A block's words as tokens of the model."""
 
     def __init__(self, b: Kept, coder: Coder):
-        self.b, self.n = b, np.append(1, b.lengths)
+        self.b, self.n = b, np.append(1, b.lengths).astype(np.int32)
         self.begin = np.cumsum(self.n) - self.n
         self.every = np.append(0, coder.ids[b.ids]).astype(np.int32)
         #: what ln p of each distinct word has beside its tokens'
         self.rare = np.add.reduceat(np.append(0.0, coder.rare[b.ids]), self.begin)
 
     def parts(self, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """A few documents at a time (rows: only those): document numbers, word numbers, tokens, word of each token, tokens of each document."""
+        """A few documents at a time (rows: only those): document numbers, word numbers, tokens, first token of each word, tokens of each document."""
         b = self.b
         picked = np.arange(len(b.sizes)) if rows is None else np.flatnonzero(rows)
         sizes, first = b.sizes[picked], (np.cumsum(b.sizes) - b.sizes)[picked]
@@ -380,9 +382,9 @@ class Laid:
             if lo == hi:
                 continue
             own = sizes[lo:hi]
-            flat = b.flat[ragged(first[lo:hi], own)]
+            flat = b.flat[ragged(first[lo:hi], own)] if rows is not None else b.flat[first[lo] : first[hi - 1] + own[-1]]
             n = self.n[flat]
-            yield picked[lo:hi], flat, self.every[ragged(self.begin[flat], n)], np.repeat(np.arange(len(flat)), n), np.add.reduceat(n, np.cumsum(own) - own)
+            yield picked[lo:hi], flat, self.every[ragged(self.begin[flat], n)], np.cumsum(n) - n, np.add.reduceat(n, np.cumsum(own) - own)
 
 
 def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: int) -> tuple[np.ndarray, float]:
@@ -403,12 +405,12 @@ def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: in
                 share = np.maximum(counts - 1, 0) / max(1, n - 1)
                 laid, t, rng = Laid(b, coder_), A.Trainer(start), np.random.default_rng(7)
                 tokens, likely = 0, np.zeros(len(PARTS))
-                for _, words, ids, word, sizes in laid.parts(b.learn):
+                for _, words, ids, first, sizes in laid.parts(b.learn):
                     ln = t.train(ids, sizes, 0, rng)
                     tokens += len(ids)
                     if not last:
                         continue
-                    own = np.exp(np.bincount(word, ln, len(words)) + laid.rare[words])
+                    own = np.exp(np.add.reduceat(ln, first, dtype=np.float64) + laid.rare[words])
                     likely += np.log(np.maximum(model_parts * own + (1 - model_parts) * share[words], 1e-300)).sum(axis=1)
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(tokens)]), pa.array([t.flat.tobytes()], pa.binary()), pa.array([likely.tobytes()], pa.binary())], names=schema.names)
@@ -479,10 +481,10 @@ def score_texts(documents: DataFrame, learn, *, doc_id: str = "doc_id", text: st
                 with np.errstate(divide="ignore"):
                     own = np.log(np.where(counts > 0, share, 0)) + np.log(1 - part)
                 laid, score = Laid(b, coder_), np.zeros(len(b.sizes))
-                for docs, words, ids, word, sizes in laid.parts():
-                    ln = np.bincount(word, A.score(weights, ids, sizes, 0), len(words)) + laid.rare[words] + np.log(part)
-                    first = np.cumsum(b.sizes[docs]) - b.sizes[docs]
-                    score[docs] = np.add.reduceat(np.logaddexp(ln, own[words]), first) / np.log(10)
+                for docs, words, ids, first, sizes in laid.parts():
+                    ln = np.add.reduceat(A.score(weights, ids, sizes, 0), first, dtype=np.float64) + laid.rare[words] + np.log(part)
+                    begin_of = np.cumsum(b.sizes[docs]) - b.sizes[docs]
+                    score[docs] = np.add.reduceat(np.logaddexp(ln, own[words]), begin_of) / np.log(10)
                 columns = [b.rows.column("doc_id").combine_chunks(), pa.array(b.learn), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(score), n)), pa.array(base), pa.array(score)]
                 yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches(max_chunksize=10_000)
 
