@@ -21,3 +21,12 @@ TWO_ENDINGS = ["acme co co", "acme group ltd", "co co", "ñandú co co", "acme c
 
 def test_two_legal_endings(spark, tmp_path):
     twin(spark, tmp_path, "named_block_keys", TWO_ENDINGS)
+
+
+def test_heuristic_score_of_two_legal_endings(spark, tmp_path):
+    # copies lie 1 and 2 apart, so that they are of other sources
+    twin(spark, tmp_path, "heuristic_score", [t for t in TWO_ENDINGS for _ in range(3)])
+
+
+def test_numbers_beside_accented_letters(spark, tmp_path):
+    twin(spark, tmp_path, "heuristic_score", ["acme one two three four five rue " + x + " " + "x" * k for k, x in enumerate(["né5", "5é", "né5 7", "né_5", "né5"] * 4)])
