@@ -64,10 +64,14 @@ _MASK = (np.arange(SPAN)[None, :] <= (CONTEXT + np.arange(SCORED))[:, None]).ast
 _PLACES = np.arange(SPAN) - CONTEXT
 
 
+#: To query and rest, to key and value.
+Pair = tuple[np.ndarray, np.ndarray]
+
+
 class Pass:
     """The forward half for some windows: inputs, attention and hidden states, targets sorted by class."""
 
-    def __init__(self, p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray, wild: tuple[bool, bool], ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int):
+    def __init__(self, p: dict[str, np.ndarray], table: Pair, place: Pair, wild: tuple[bool, bool], ids: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, bos: int):
         d = WIDTH
         at = start[:, None] + _PLACES
         self.x = ids.take(at - 1, mode="clip")
@@ -75,51 +79,56 @@ class Pass:
         inside = at[edge]
         self.x[edge] = np.where(inside > first[edge, None], self.x[edge], bos)
         real = (inside >= first[edge, None]) & (inside < end[edge, None])
-        h = table.take(self.x, axis=0, mode="clip")
-        h += place
-        self.q, self.k, self.v, r = h[:, CONTEXT:, :d], h[:, :, d : 2 * d], h[:, :, 2 * d : 3 * d], h[:, CONTEXT:, 3 * d :]
+        own, seen = table[0].take(self.x[:, CONTEXT:], axis=0, mode="clip"), table[1].take(self.x, axis=0, mode="clip")
+        own += place[0]
+        seen += place[1]
+        self.q, self.k, self.v, r = own[:, :, :d], seen[:, :, :d], seen[:, :, d:], own[:, :, d:]
         s = np.matmul(self.q, self.k.transpose(0, 2, 1))
         if wild[0]:
             np.minimum(s, _F(60), out=s)  # exp stays finite without a look for the largest
         np.exp(s, out=s)
         s *= _MASK
         s[edge] *= real[:, None, :]
-        self.v[:, :, -1] = 1  # the last column of the product is then the sum of the weights
-        g = np.matmul(s, self.v)
-        self.s, self.share = s, 1 / (g[:, :, -1:] + _F(1e-30))
-        g *= self.share
-        g += r
-        np.tanh(g, out=g)
+        o = np.matmul(s, self.v)  # the last column is the sum of the weights, as that of v is one
+        self.s, self.share = s, 1 / (o[:, :, -1:] + _F(1e-30))
+        o *= self.share
+        r += o
+        g = np.tanh(r)
         g[:, :, -1] = 1
-        self.g = g.reshape(-1, d)
+        self.o, self.g = o, g.reshape(-1, d)
         self.at = at[:, CONTEXT:].reshape(-1)
         #: places of the windows that lie beyond their document
         self.none = (edge[:, None] * SCORED + np.arange(SCORED))[~real[:, CONTEXT:]]
         t = ids.take(self.at, mode="clip")
         self.order = np.argsort(t.astype(np.int16), kind="stable")
         t = t[self.order]
-        self.gs, self.c, self.inside = self.g[self.order], t // CLASSES, t % CLASSES
-        self.cut = np.searchsorted(self.c, np.arange(CLASSES + 1)).tolist()
-        self.rows = np.arange(len(t))
+        c = t // CLASSES
+        self.gs = self.g.take(self.order, axis=0, mode="clip")  # much faster than by an index in brackets
+        self.cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        rows = np.arange(0, len(t) * CLASSES, CLASSES)
+        #: where the target's class, and its id within the class, lie in z and y laid out as one row
+        self.of_class = rows + c
+        self.of_id = rows + t
+        self.of_id -= c * CLASSES
         self.z, self.zs = _exp(self.gs @ p["C"].T, wild[1])
         y = np.empty((len(t), CLASSES), _F)
         for k in range(CLASSES):
             if self.cut[k] < self.cut[k + 1]:
                 np.matmul(self.gs[self.cut[k] : self.cut[k + 1]], p["U"][k].T, out=y[self.cut[k] : self.cut[k + 1]])
         self.y, self.ys = _exp(y, wild[1])
-        chance = self.z[self.rows, self.c] * self.y[self.rows, self.inside] * (self.zs * self.ys)
-        self.ln = np.empty(len(t), _F)
-        self.ln[self.order] = np.log(np.maximum(chance, _F(1e-37)))
-        self.ln[self.none] = 0
 
     def put(self, out: np.ndarray) -> None:
-        """ln p of each scored place into out."""
+        """ln p of each scored place into out; before ``Trainer`` goes back."""
+        # each a share first: the product of two exps may be beyond the largest number
+        chance = (self.z.reshape(-1).take(self.of_class) * self.zs) * (self.y.reshape(-1).take(self.of_id) * self.ys)
+        ln = np.empty(len(chance), _F)
+        ln[self.order] = np.log(np.maximum(chance, _F(1e-37)))
         if len(self.none):
-            keep = np.ones(len(self.ln), dtype=bool)
+            keep = np.ones(len(ln), dtype=bool)
             keep[self.none] = False
-            out[self.at[keep]] = self.ln[keep]
+            out[self.at[keep]] = ln[keep]
         else:
-            out[self.at] = self.ln
+            out[self.at] = ln
 
 
 _ONES = np.ones(CLASSES, _F)
@@ -133,19 +142,34 @@ def _exp(z: np.ndarray, wild: bool) -> tuple[np.ndarray, np.ndarray]:
     return z, 1 / (z @ _ONES + _F(1e-30))
 
 
-def _wild(p: dict[str, np.ndarray], table: np.ndarray, place: np.ndarray) -> tuple[bool, bool]:
-    """Whether exp of attention, and of the predictions, may overflow: products of two vectors are at most those of their lengths, hidden units at most one."""
+_UNITS = np.ones(WIDTH, _F)
+_HALF = np.repeat(_F([1, 0]), WIDTH)
+
+
+def _wild(p: dict[str, np.ndarray], table: Pair, place: Pair) -> tuple[bool, bool]:
+    """Whether exp of attention, and of the predictions, may overflow.
+
+    Products of two vectors are at most those of their lengths. Hidden units are at most one, the last one is one, so
+    that a prediction is at most the sum of its other weights without their signs, and its bias.
+    """
+    q, k = (sum(float(np.sqrt((np.square(x) @ _HALF).max())) for x in two) for two in zip(table, place, strict=True))
+    most = max(float((np.abs(w) @ _UNITS + np.minimum(0, 2 * w[:, -1])).max()) for w in (p["C"], p["U"].reshape(-1, WIDTH)))
+    return q * k > 60, most > 80
+
+
+def _tables(p: dict[str, np.ndarray]) -> tuple[Pair, Pair]:
+    """All ids and all places (those that are scored) under the maps to query and rest, and under those to key and value; the query is scaled."""
     d = WIDTH
-    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
-    q, k = (longest(table[:, a : a + d]) + longest(place[:, a : a + d]) for a in (0, d))
-    return q * k > 60, WIDTH * float(max(np.abs(p["C"]).max(), np.abs(p["U"]).max())) > 80
+    w = p["W"] * _SCALE
+    own, seen = np.hstack([w[:, :d], w[:, 3 * d :]]), np.ascontiguousarray(w[:, d : 3 * d])
+    table, place = (p["E"] @ own, p["E"] @ seen), (p["P"][CONTEXT:] @ own, p["P"] @ seen)
+    # the last value is one everywhere
+    table[1][:, -1], place[1][:, -1] = 0, 1
+    return table, place
 
 
-def _tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids and all places under all four maps; the query is scaled."""
-    w = p["W"].copy()
-    w[:, :WIDTH] *= _F(WIDTH**-0.5)
-    return p["E"] @ w, p["P"] @ w
+#: What the columns of W are multiplied by: the query is scaled.
+_SCALE = np.repeat(_F([WIDTH**-0.5, 1, 1, 1]), WIDTH)
 
 
 def score(flat: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bos: int) -> np.ndarray:
@@ -172,8 +196,8 @@ class Trainer:
         self.d = views(self.grad)
         self.steps = 0
 
-    def train(self, ids: np.ndarray, sizes: np.ndarray, bos: int, rng: np.random.Generator) -> np.ndarray:
-        """One step for each STEP windows, dealt by rng. Returns ln p of each token when its step began."""
+    def train(self, ids: np.ndarray, sizes: np.ndarray, bos: int, rng: np.random.Generator, wanted: bool = True) -> np.ndarray:
+        """One step for each STEP windows, dealt by rng. Returns ln p of each token when its step began (zeros if not wanted)."""
         start, first, end = windows(sizes)
         out = np.zeros(len(ids), dtype=_F)
         order = rng.permutation(len(start))
@@ -181,23 +205,24 @@ class Trainer:
             pick = order[lo : lo + STEP]
             table, place = _tables(self.p)
             f = Pass(self.p, table, place, _wild(self.p, table, place), ids, start[pick], first[pick], end[pick], bos)
-            f.put(out)
+            if wanted:
+                f.put(out)
             self._backward(f)
             self._adam()
         return out
 
     def _backward(self, f: Pass) -> None:
         p, g, d = self.p, self.d, WIDTH
-        size = _F(1 / max(1, len(f.ln) - len(f.none)))
-        gone = np.zeros(len(f.ln), dtype=bool)
+        size = _F(1 / max(1, len(f.at) - len(f.none)))
+        gone = np.zeros(len(f.at), dtype=bool)
         gone[f.none] = True
         gone = np.flatnonzero(gone[f.order])
         # through both softmaxes
         z, y = f.z, f.y
         z *= f.zs[:, None]
         y *= f.ys[:, None]
-        z[f.rows, f.c] -= 1
-        y[f.rows, f.inside] -= 1
+        z.reshape(-1)[f.of_class] -= 1
+        y.reshape(-1)[f.of_id] -= 1
         z[gone], y[gone] = 0, 0
         gs = f.gs * size
         g["C"][:] = z.T @ gs
@@ -209,38 +234,38 @@ class Trainer:
                 np.matmul(y[lo:hi].T, gs[lo:hi], out=g["U"][k])
                 dg[lo:hi] += y[lo:hi] @ p["U"][k]
         dg *= size - gs * f.gs
-        da = np.empty_like(dg)
-        da[f.order] = dg
-        da = da.reshape(-1, SCORED, d)
-        # through attention
+        back = np.empty(len(f.order), f.order.dtype)
+        back[f.order] = np.arange(len(back))
+        da = dg.take(back, axis=0, mode="clip").reshape(-1, SCORED, d)
+        # through attention; the last column of da is 0, as that hidden unit is held
         s = f.s
-        s *= f.share
-        own = np.empty((len(da), SCORED, 2 * d), _F)  # to query and rest of the scored places
-        seen = np.empty((len(da), SPAN, 2 * d), _F)  # to key and value of all places
-        own[:, :, d:] = da
+        every = np.empty((len(da), SPAN, 4 * d), _F)  # to query, key, value and rest of all places
+        every[:, :CONTEXT, :d] = every[:, :CONTEXT, 3 * d :] = 0
+        every[:, CONTEXT:, 3 * d :] = da
+        da *= f.share
+        np.matmul(s.transpose(0, 2, 1), da, out=every[:, :, 2 * d : 3 * d])
+        # the mean of what the weights of a place get is taken off by the values' column of ones
+        da[:, :, -1] = -np.einsum("bij,bij->bi", da, f.o)
         ds = np.matmul(da, f.v.transpose(0, 2, 1))
-        np.matmul(s.transpose(0, 2, 1), da, out=seen[:, :, d:])
-        ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
         ds *= s
-        np.matmul(ds, f.k, out=own[:, :, :d])
-        np.matmul(ds.transpose(0, 2, 1), f.q, out=seen[:, :, :d])
+        np.matmul(ds, f.k, out=every[:, CONTEXT:, :d])
+        np.matmul(ds.transpose(0, 2, 1), f.q, out=every[:, :, d : 2 * d])
         # to the maps, and by id to the embeddings
-        mine, theirs = np.r_[0:d, 3 * d : 4 * d], slice(d, 3 * d)
-        scale = np.repeat(_F([WIDTH**-0.5, 1]), d)  # of the query
-        w_own, w_seen = np.ascontiguousarray((p["W"][:, mine] * scale).T), np.ascontiguousarray(p["W"][:, theirs].T)
+        every = every.reshape(-1, 4 * d)
         e = p["E"].take(f.x, axis=0, mode="clip")
         e += p["P"]
-        g["W"][:, theirs] = e.reshape(-1, d).T @ seen.reshape(-1, 2 * d)
-        g["W"][:, mine] = (e[:, CONTEXT:].reshape(-1, d).T @ own.reshape(-1, 2 * d)) * scale
-        de = (seen.reshape(-1, 2 * d) @ w_seen).reshape(-1, SPAN, d)
-        de[:, CONTEXT:] += (own.reshape(-1, 2 * d) @ w_own).reshape(-1, SCORED, d)
+        np.matmul(e.reshape(-1, d).T, every, out=g["W"])
+        g["W"] *= _SCALE
+        de = (every @ np.ascontiguousarray((p["W"] * _SCALE).T)).reshape(-1, SPAN, d)
         g["P"][:] = de.sum(axis=0)
         x = f.x.ravel()
         order = np.argsort(x.astype(np.int16), kind="stable")
         x = x[order]
-        cut = np.flatnonzero(np.diff(x, prepend=-1))
+        cut = np.append(0, np.flatnonzero(x[1:] != x[:-1]) + 1)
         g["E"][:] = 0
-        g["E"][x[cut]] = np.add.reduceat(de.reshape(-1, d)[order], cut, axis=0)
+        # two columns at once, as the parts of a complex number
+        pairs = de.reshape(-1, d).take(order, axis=0, mode="clip").view(np.complex64)
+        g["E"][x[cut]] = np.add.reduceat(pairs, cut, axis=0).view(_F)
 
     def _adam(self) -> None:
         self.steps += 1

@@ -406,7 +406,7 @@ def learn_weights(blocks: DataFrame, folder: str, coder: Coder, n: int, ends: in
                 laid, t, rng = Laid(b, coder_), A.Trainer(start), np.random.default_rng(7)
                 tokens, likely = 0, np.zeros(len(PARTS))
                 for _, words, ids, first, sizes in laid.parts(b.learn):
-                    ln = t.train(ids, sizes, 0, rng)
+                    ln = t.train(ids, sizes, 0, rng, wanted=last)
                     tokens += len(ids)
                     if not last:
                         continue

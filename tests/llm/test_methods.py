@@ -80,6 +80,28 @@ def test_training_beats_the_counts():
     assert after > before + 0.4  # ln 2 is all that there is to learn
 
 
+def test_large_weights_give_probabilities():
+    """Both steps of a prediction may be near the largest exp: their product is beyond the largest number."""
+    rng = np.random.default_rng(5)
+    ids, sizes = rng.integers(0, 10, 100).astype(np.int32), np.array([100])
+    flat = A.initial(np.ones(A.CLASSES**2))
+    p = A.views(flat)
+    p["C"][0, -1] = p["U"][0, :10, -1] = 50
+    assert A.score(flat, ids, sizes, 0) == pytest.approx(ln_by_loops(flat, ids, sizes), rel=1e-3, abs=1e-4)
+
+
+def test_only_weights_that_may_overflow_are_held():
+    """Rare ids have biases far below 0, which no exp has to be kept from."""
+    counts = np.ones(A.CLASSES**2)
+    counts[0] = 1e6
+    flat = A.initial(counts)
+    p = A.views(flat)
+    assert p["C"].min() < -5
+    assert A._wild(p, *A._tables(p)) == (False, False)
+    p["U"][3, 3, :-1] = 6
+    assert A._wild(p, *A._tables(p)) == (False, True)
+
+
 def test_spellings_are_the_tokenizers():
     spell, whole = speller(default_tokenizer()), encoder(default_tokenizer())
     words = [b"the", "naïve".encode(), "a b".encode(), " ".encode(), b"x" * 500, "日本語".encode(), b"don't,", b"\x00", b"1234567"]
